@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, token_counts, token_files
+from . import bpe_codec, minhash, packing, token_counts, token_files
 
 
 def tokenizer(name: str) -> str:
@@ -24,6 +24,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_codec.shared_vocabulary(spark, tokenizer("byte_bpe_50k.json"))
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary, limit=1024)
@@ -40,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_codec, op8_token_counts, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op4_bpe_codec, op6_minhash, op8_token_counts, op9_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
