@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, minhash, packing, token_counts, token_files
+from . import bpe_codec, cover_tree, minhash, packing, token_counts, token_files, vptree
 
 
 def tokenizer(name: str) -> str:
@@ -19,11 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_codec.shared_vocabulary(spark, tokenizer("byte_bpe_50k.json"))
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=1.0)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -44,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_codec, op6_minhash, op8_token_counts, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_cover_tree, op4_bpe_codec, op5_vptree, op6_minhash, op8_token_counts, op9_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
