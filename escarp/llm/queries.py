@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, cover_tree, minhash, packing, secrets, token_counts, token_files, vptree
+from . import bpe_codec, cover_tree, langid, minhash, packing, secrets, token_counts, token_files, toxicity, vptree
 
 
 def tokenizer(name: str) -> str:
@@ -27,6 +28,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = langid.identified(documents.select("doc_id", "text"), langid.trained_on_documents(documents))
+    return found.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_codec.shared_vocabulary(spark, tokenizer("byte_bpe_50k.json"))
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), vocabulary)
@@ -41,6 +48,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.trained_on_labels(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe_codec.shared_vocabulary(spark, tokenizer("byte_bpe_50k.json"))
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary, limit=1024)
@@ -57,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree, op2_secrets, op4_bpe_codec, op5_vptree, op6_minhash, op8_token_counts, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_cover_tree, op2_secrets, op3_language, op4_bpe_codec, op5_vptree, op6_minhash, op7_toxicity, op8_token_counts, op9_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
