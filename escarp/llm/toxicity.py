@@ -26,8 +26,8 @@ from .codepoints import letters
 #: Labelled rows that are trained on at most (about), words kept, and folds.
 SAMPLE, WORDS, FOLDS = 20_000, 8_000, 5
 BEGINNINGS = (3, 4, 5, 6)
-#: The least chi-square of a kept word: a word of two rows that both have a rare category falls short.
-TELLING = 20.0
+#: The least chi-square of a kept word: a word of three rows that all have a rare category falls short.
+TELLING = 27.0
 MASK = U64((1 << 62) - 1)
 
 
