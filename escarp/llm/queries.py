@@ -68,8 +68,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary, capacity=4096, end_id=1)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree, op2_secrets, op3_language, op4_bpe_codec, op5_vptree, op6_minhash, op7_toxicity, op8_token_counts, op9_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_cover_tree, op2_secrets, op3_language, op4_bpe_codec, op5_vptree, op6_minhash, op7_toxicity, op8_token_counts, op9_token_files, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
