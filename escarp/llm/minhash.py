@@ -8,10 +8,14 @@ coordinates of two sketches concentrates around their Jaccard similarity.
 
 Documents with equal sets are one class from the start.  Classes that agree on all coordinates of a band share a
 bucket, and links are confirmed on full sets.  What is wanted are connected components, so a bucket isn't compared
-pair by pair: all members are compared with one pivot, which settles it if everything links, as in groups of near
-copies.  Members of one component need no comparison, and the distances d to the pivot bound those of others from
-below (Jaccard distance is a metric): |d(x) - d(y)| above the limit rules out a link.  Buckets that aren't settled go
-on with further pivots; those of at most SMALL members are finished pair by pair.
+pair by pair:
+
+1. All members are compared with one pivot, which settles a bucket if everything links, as in groups of near copies.
+   Members of one component need no comparison any more, in this and the next steps.
+2. Buckets of at most SMALL members that aren't settled are finished pair by pair, across components.
+3. Members of larger ones are compared with the pivots of finer buckets, of 2, 3, 4 and 6 bands together.
+4. In buckets that are still not settled, members outside the commonest component are compared with all members, in
+   blocks: a task gets two blocks of full sets, and all its intersections are one product of 0/1 matrices.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrays import RANDOMS, U64, Rolling, mix, ragged, text_buffer, units
 from .bpe import LOWER
-from .components import components
+from .components import components, joined
 from .store import dropped, written
 
 #: A band's rows and the number of bands.  A link at similarity s is missed with probability (1 - s**ROWS)**BANDS at
@@ -141,7 +145,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
     members = written(rows_.join(shared, "bucket", "left_semi"), "members")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = written(full_sets(texts.join(wanted, "doc_id", "left_semi"), words).distinct(), "sets")
-    links = linked(members, sets, percent, small)
+    bands_of = reps.select(F.col("doc_id").alias("id"), "bands")
+    links = linked(members, bands_of, sets, percent, small)
     labels = components(links.union(copies))
     out = sketch.join(labels, sketch.doc_id == labels.id, "left")
     component = F.coalesce("component", "doc_id")
@@ -161,59 +166,112 @@ def near_size(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def linked(members: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
-    """Links (a, b) that connect, in every bucket, all members that similar documents connect."""
-    spark = members.sparkSession
-    left, links, first = members, None, True
-    while True:
-        if first:
-            now = left.withColumn("c", F.col("id"))
-        else:
-            labels = components(links)
-            now = left.join(labels.withColumnRenamed("id", "key"), F.col("id") == F.col("key"), "left").select(*left.columns, F.coalesce("component", "id").alias("c"))
-            now = written(now, "labelled")
-            open_ = written(now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low <> high"), "open")
-            if open_.isEmpty():
-                break
-            few = open_.where(F.col("members") <= small).select("bucket")
-            some = now.join(few, "bucket", "left_semi")
-            other = some.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = some.withColumnRenamed("id", "a").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & near_size(F.col("n"), F.col("nb"), percent)).select("a", "b").distinct()
-            links = more(links, confirmed(similar(pairs, sets), percent))
-            now = now.join(open_.where(F.col("members") > small).select("bucket"), "bucket", "left_semi")
-            if now.isEmpty():
-                break
-        # Every member against its bucket's pivot.
-        pivots = written(now.groupBy("bucket").agg(F.min(F.struct("id", "n", "c")).alias("p")).select("bucket", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca")), "pivots")
-        against = now.join(pivots, "bucket").where("id <> a")
-        apart = written(similar(against.withColumnRenamed("id", "b").select("a", "b").distinct(), sets), "apart") if not first else None
-        if first:
-            pairs = against.where(near_size(F.col("n"), F.col("na"), percent)).select("a", F.col("id").alias("b")).distinct()
-            links = more(None, confirmed(similar(pairs, sets), percent))
-            first = False
-            continue
-        links = more(links, confirmed(apart, percent))
-        # The pivot is done; of its component only members that some other may still reach stay.
-        far = apart.select("a", F.col("b").alias("id"), (1 - F.col("common") / F.col("either")).alias("d"))
-        rest = against.join(far, ["a", "id"])
-        least = written(rest.where("c <> ca").groupBy("bucket").agg(F.min("d").alias("nearest")), "nearest")
-        keep = rest.join(least, "bucket").where((F.col("c") != F.col("ca")) | (F.col("d") >= F.col("nearest") - (1 - percent / 100) - 1e-9))
-        left = written(keep.select("bucket", "id", "n"), "members")
-    return links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
+def linked(members: DataFrame, bands: DataFrame, sets: DataFrame, percent: int, small: int) -> DataFrame:
+    """Links (a, b) that connect, in every bucket, all members that similar documents connect.
+
+    `members` has (bucket, id, n), `bands` the band keys of every id in them, `sets` the full sets."""
+    links = stars(members, sets, percent)
+    open_, now = unsettled(members, links)
+    few = open_.where(F.col("members") <= small)
+    some = now.join(few.select("bucket"), "bucket", "left_semi")
+    other = some.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    pairs = some.withColumnRenamed("id", "a").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & near_size(F.col("n"), F.col("nb"), percent)).select("a", "b").distinct()
+    links = links.union(written(confirmed(similar(pairs, sets), percent), "links"))
+    many = written(open_.where(F.col("members") > small).select("bucket"), "many")
+    if many.isEmpty():
+        return links
+    # Finer buckets, of several bands together, have pivots that are more alike.
+    left = written(members.join(many, "bucket", "left_semi"), "many")
+    ids = left.select("id", "n").distinct()
+    finer = [F.explode(several(k)).alias("bucket") for k in (2, 3, 4, 6)]
+    of = written(ids.join(bands, "id"), "finer")
+    parts = [of.select(x, "id", "n") for x in finer]
+    rows_ = parts[0]
+    for x in parts[1:]:
+        rows_ = rows_.union(x)
+    links = links.union(stars(rows_, sets, percent))
+    open_, now = unsettled(left, links)
+    if open_.isEmpty():
+        return links
+    return links.union(outsiders(now.join(open_.select("bucket"), "bucket", "left_semi"), sets, percent))
+
+
+def several(k: int) -> Column:
+    """The keys of k neighbouring bands together."""
+    n = F.size("bands")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(k), i, *[F.col("bands")[(i + j) % n] for j in range(k)]))
+
+
+def stars(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links of every bucket's least member with the others."""
+    pivots = written(members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("members")).where("members > 1").select("bucket", F.col("p.id").alias("a"), F.col("p.n").alias("na")), "pivots")
+    against = members.join(pivots, "bucket").where("id <> a").where(near_size(F.col("n"), F.col("na"), percent))
+    return written(confirmed(similar(against.select("a", F.col("id").alias("b")).distinct(), sets), percent), "links")
+
+
+def unsettled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(buckets with members of several components, all members with their component c)."""
+    labels = components(links).withColumnRenamed("id", "key")
+    now = written(members.join(labels, F.col("id") == F.col("key"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c")), "labelled")
+    kinds = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members"))
+    return written(kinds.where("low <> high").select("bucket", "members"), "open"), now
+
+
+def outsiders(now: DataFrame, sets: DataFrame, percent: int, rows: int = 64, columns: int = 256) -> DataFrame:
+    """Links between members of a bucket outside its commonest component and all its members, by blocks of full sets."""
+    kinds = now.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    home = written(kinds.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("h")).select("bucket", F.col("h.c").alias("home")), "home")
+    placed = now.join(home, "bucket").select("home", "id", (F.col("c") != F.col("home")).cast("int").alias("out"))
+    every = written(placed.groupBy("home", "id").agg(F.max("out").alias("out")), "every")
+    sizes = written(every.groupBy("home").agg(F.ceil(F.sum("out") / rows).cast("int").alias("down"), F.ceil(F.count("*") / columns).cast("int").alias("across")), "sizes")
+    grid = every.join(sizes, "home")
+    place = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = grid.where("out = 1").select("home", "id", F.lit(0).alias("side"), place(1, "down").alias("i"), up_to("across").alias("j"))
+    right = grid.where("down > 0").select("home", "id", F.lit(1).alias("side"), up_to("down").alias("i"), place(2, "across").alias("j"))
+    met = left.union(right).join(sets, "id").select("home", "i", "j", "side", "id", "s")
+
+    def meet(table: pa.Table) -> pa.Table:
+        side, ids, full = table.column("side").to_numpy(), table.column("id").to_numpy(), table.column("s").combine_chunks()
+        ends = np.asarray(full.offsets)
+        values, lengths = np.asarray(full.flatten()), np.diff(ends)
+        word, times = np.unique(values, return_counts=True)
+        at = np.searchsorted(word, values)
+        shared = times[at] > 1
+        column = np.cumsum(times > 1)[at[shared]] - 1
+        row = np.repeat(np.arange(len(ids)), lengths)[shared]
+        common = np.zeros((int((side == 0).sum()), int((side == 1).sum())), dtype=np.float64)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        step = 8192
+        for first in range(0, int(column.max(initial=-1)) + 1, step):
+            a, b = np.searchsorted(column, (first, first + step))
+            dense = np.zeros((len(ids), step), dtype=np.float32)
+            dense[row[a:b], column[a:b] - first] = 1
+            common += dense[side == 0] @ dense[side == 1].T
+        either = lengths[side == 0][:, None] + lengths[side == 1][None, :] - common
+        x, y = np.nonzero(100 * common >= percent * either)
+        p, q = ids[side == 0][x], ids[side == 1][y]
+        p, q = joined(p[p != q], q[p != q])
+        return pa.table({"a": p[p != q], "b": q[p != q]})
+
+    return written(met.groupBy("home", "i", "j").applyInArrow(meet, "a bigint, b bigint"), "links")
 
 
 def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.col("common") >= percent * F.col("either")).select("a", "b")
 
 
-def more(links: DataFrame | None, new: DataFrame) -> DataFrame:
-    new = written(new, "links")
-    return new if links is None else links.union(new)
-
-
 def deduplicated(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents but for near duplicates: of each group the one of the least id stays, once."""
-    found = near_duplicates(df, words, percent, id_col=id_col, text_col=text_col)
-    kept = written(found.where("kept or component_id is null").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    once = df.join(kept, df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return once.dropDuplicates([id_col]) if not once.isEmpty() else once
+    """The rows of documents but for near duplicates: of each group the one of the least id stays, once.
+
+    Rows whose id is null all stay."""
+    found = written(near_duplicates(df, words, percent, id_col=id_col, text_col=text_col).where("kept or component_id is null").select("doc_id"), "kept")
+    again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    key = found.select(F.col("doc_id").alias("_kept")).distinct()
+    once = df.join(key, df[id_col].cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    if again.isEmpty():
+        return once
+    repeated = again.select(F.col("doc_id").alias("_again"))
+    same = df[id_col].cast("bigint") == F.col("_again")
+    return once.join(repeated, same, "left_anti").unionByName(once.join(repeated, same, "left_semi").dropDuplicates([id_col]))
