@@ -1 +1 @@
-
+"""Scalar and array functions."""

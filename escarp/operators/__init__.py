@@ -1 +1 @@
-
+"""Stages of the batch pipeline."""

@@ -1 +1 @@
-
+"""Empty on purpose: the engine answers batch requests and has no streams."""
