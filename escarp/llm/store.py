@@ -1,46 +1,5 @@
 """Where intermediate results live: the folder that the cluster shares."""
 
-from __future__ import annotations
+from escarp.storage import dropped, new_path, remove, shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="escarp-")
-        context._conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/escarp-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame written as Parquet to the shared folder and read again: it survives lost executors and is not
-    computed twice.  `dropped` removes it."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._escarp_path = path
-    return out
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Deletes what `written` wrote, once nothing reads it any more."""
-    for df in frames:
-        remove(df.sparkSession, df._escarp_path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["dropped", "new_path", "remove", "shared_folder", "written"]
