@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..operators import climbs as C
 from ..operators import graph, loading, regions, score
 from ..params import PipelineParams
@@ -54,7 +55,7 @@ def run(spark: SparkSession, warehouse: str, region: str, raw_ways: DataFrame |
         found = score.scored(read("proto_climbs"), read("nodes"), read("ways"), region)
         once = loading.latest_by(found, "id", [F.col("score")])
         regions.write_region(once, f"{warehouse}/climbs")
-        return spark.read.parquet(f"{warehouse}/climbs").where(F.col("region") == region)
+        return spark.read.schema(schema.CLIMBS).parquet(f"{warehouse}/climbs").where(F.col("region") == region)
     return None
 
 
