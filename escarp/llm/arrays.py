@@ -122,8 +122,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-#: Bytes of text worked on at once; bounds the temporary arrays, which take some 40 times this.
-UNIT = 1 << 20
+#: Bytes of text worked on at once; bounds the temporary arrays, which take up to some 200 times this.
+UNIT = 1 << 18
 
 
 def units(data: np.ndarray, offsets: np.ndarray, unit: int = UNIT) -> Iterator[tuple[int, int]]:

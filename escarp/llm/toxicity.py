@@ -24,10 +24,12 @@ from .arrays import U64, Rolling, mix, text_buffer, units
 from .codepoints import letters
 
 #: Labelled rows that are trained on at most (about), words kept, and folds.
-SAMPLE, WORDS, FOLDS = 20_000, 8_000, 5
+SAMPLE, WORDS, FOLDS = 10_000, 8_000, 5
 BEGINNINGS = (3, 4, 5, 6)
 #: The least chi-square of a kept word: a word of three rows that all have a rare category falls short.
 TELLING = 27.0
+#: Words in a larger share of the training rows are left out too: they say little, and are most of all occurrences.
+COMMON = 0.2
 MASK = U64((1 << 62) - 1)
 
 
@@ -68,7 +70,7 @@ class Linear:
         return self.bias + np.bincount(rows, self.words[columns], minlength=n) + before @ self.earlier
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, n: int, width: int, before: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 150) -> Linear:
+def fit(rows: np.ndarray, columns: np.ndarray, n: int, width: int, before: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 100) -> Linear:
     """Ridge-regularised logistic regression by accelerated gradient steps; deterministic."""
     k = before.shape[1]
     w, prior = np.zeros(width + k), np.clip(y.mean(), 1e-3, 1 - 1e-3) if n else 0.5
@@ -176,7 +178,7 @@ def train(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, word
 
     total, *with_ = picked.agg(F.count("*"), *[F.sum(c) for c in categories]).first()
     kinds = ", ".join(f"c{i} bigint" for i in range(len(categories)))
-    counts = picked.mapInArrow(count, f"word bigint, n bigint, {kinds}").groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories))]).where("n >= 3")
+    counts = picked.mapInArrow(count, f"word bigint, n bigint, {kinds}").groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories))]).where((F.col("n") >= 3) & (F.col("n") <= COMMON * total))
     # The chi-square of word and category, the largest over categories.
     chi = []
     for i, positive in enumerate(with_):
@@ -200,10 +202,10 @@ def train(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, word
     table = picked.mapInArrow(keep, f"id string, words array<int>, {kinds}").toArrow().sort_by("id")  # bounded by the sample
     words_ = table.column("words").combine_chunks()
     lengths = np.diff(np.asarray(words_.offsets)) if len(table) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(table)), lengths)
+    owner = np.repeat(np.arange(len(table), dtype=np.int32), lengths)
     labels = np.column_stack([table.column(c).to_numpy() for c in categories]).astype(float)
     fold = np.array([zlib.crc32(x.encode()) % FOLDS for x in table.column("id").to_pylist()], dtype=np.int64)
-    chain.train(owner, np.asarray(words_.flatten()).astype(np.int64), labels, fold)
+    chain.train(owner, np.asarray(words_.flatten()), labels, fold)
     return chain
 
 
