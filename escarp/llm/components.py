@@ -62,7 +62,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         renamed = left.join(step.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(step.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
         next_left = written(in_tasks(renamed.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()), "links")
         found = follow(found, step)
-        dropped(left, step)
+        dropped(left)
         left, turn = next_left, turn + 1
     last = written(in_tasks(left.coalesce(1)).select(F.col("a").alias("id"), F.col("b").alias("p")), "step")
     last = written(last.union(last.select(F.col("p").alias("id"), "p").distinct()), "step") if n else spark.createDataFrame([], "id bigint, p bigint")

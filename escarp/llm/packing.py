@@ -4,7 +4,7 @@ Which lengths go together is decided on the histogram of lengths alone, whose si
 many documents there are:
 
 1. Configuration LP: as few sequences as possible, so many of each *configuration* (a multiset of lengths that fits)
-   that every length's demand is covered.  Lengths are grouped into classes of `grain` tokens, rounded up.
+   that every length's demand is covered.  Many lengths are grouped into classes of `grain` tokens, rounded up.
 2. Multiplicative weights: a length's weight falls exponentially with the share of its demand that is covered; each
    round adds the configuration of the largest total weight, found by knapsack dynamic programming.  The average of
    the rounds, scaled until all demands are covered, is a fractional solution.
@@ -90,9 +90,12 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
     return [(x / scale, dict(key)) for key, x in uses.items()] if scale > 0 else []
 
 
-def plan(histogram: dict[int, int], capacity: int, grain: int = 8, rounds: int = 1200, rate: float = 2.0) -> list[tuple[int, list[int]]]:
-    """(how many sequences, the lengths in each) that hold every length of the histogram as often as it occurs."""
+def plan(histogram: dict[int, int], capacity: int, grain: int | None = None, rounds: int = 1200, rate: float = 2.0) -> list[tuple[int, list[int]]]:
+    """(how many sequences, the lengths in each) that hold every length of the histogram as often as it occurs.
+
+    Few lengths are classes of their own; else a class is 1/512 of the capacity wide."""
     left = {x: n for x, n in histogram.items() if n > 0}
+    grain = grain or (1 if len(left) <= 64 else max(1, capacity // 512))
     assert all(0 < x <= capacity for x in left)
     classes: dict[int, list[int]] = {}
     for x in sorted(left):
@@ -101,7 +104,7 @@ def plan(histogram: dict[int, int], capacity: int, grain: int = 8, rounds: int =
     groups: list[tuple[int, list[int]]] = []
     if len(sizes):
         demand = np.array([sum(left[x] for x in classes[s]) for s in sizes.tolist()], dtype=float)
-        for uses, shape in sorted(fractional(sizes, demand, capacity // grain, min(rounds, 4 * len(sizes)), rate), key=lambda p: -p[0]):
+        for uses, shape in sorted(fractional(sizes, demand, capacity // grain, min(rounds, max(200, 4 * len(sizes))), rate), key=lambda p: -p[0]):
             whole = int(uses)
             while whole > 0:
                 filled, times, taken = [], whole, {}
