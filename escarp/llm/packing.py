@@ -76,18 +76,32 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int,
 
 
 def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[float, dict[int, int]]]:
-    """(uses, configuration) of the LP by multiplicative weights; `sizes` ascend."""
-    covered, uses = np.zeros(len(sizes)), {}
+    """(uses, configuration) of the LP by multiplicative weights; `sizes` ascend.
+
+    Configurations that the average weights, as prices of the dual, show to be poor are left out, and fuller ones come
+    first."""
+    covered, uses, prices = np.zeros(len(sizes)), {}, np.zeros(len(sizes))
     for _ in range(rounds):
         weights = np.exp(-rate * (covered - covered.min())) / demand
         shape = knapsack(sizes, weights, capacity)
-        step = min(demand[k] / a for k, a in shape.items())
+        value = sum(weights[k] * a for k, a in shape.items())
+        prices += weights / value
+        step = SHARE * min(demand[k] / a for k, a in shape.items())
         for k, a in shape.items():
             covered[k] += step * a / demand[k]
         key = tuple(sorted(shape.items()))
         uses[key] = uses.get(key, 0.0) + step
-    scale = np.median(covered)
-    return [(x / scale, dict(key)) for key, x in uses.items()] if scale > 0 else []
+    prices /= max(1, rounds)
+    worth = {key: sum(prices[k] * a for k, a in key) for key in uses}
+    best = max(worth.values(), default=0.0)
+    good = [key for key in uses if worth[key] >= GOOD * best]
+    covers = np.zeros(len(sizes))
+    for key in good:
+        for k, a in key:
+            covers[k] += uses[key] * a / demand[k]
+    scale = float(np.median(covers[covers > 0])) if good else 1.0
+    good.sort(key=lambda key: (-sum(sizes[k] * a for k, a in key), -worth[key], key))
+    return [(uses[key] / scale, dict(key)) for key in good]
 
 
 def plan(histogram: dict[int, int], capacity: int, grain: int | None = None, rounds: int = 1200, rate: float = 2.0) -> list[tuple[int, list[int]]]:
@@ -104,8 +118,8 @@ def plan(histogram: dict[int, int], capacity: int, grain: int | None = None, rou
     groups: list[tuple[int, list[int]]] = []
     if len(sizes):
         demand = np.array([sum(left[x] for x in classes[s]) for s in sizes.tolist()], dtype=float)
-        for uses, shape in sorted(fractional(sizes, demand, capacity // grain, min(rounds, max(200, 4 * len(sizes))), rate), key=lambda p: -p[0]):
-            whole = int(uses)
+        for uses, shape in fractional(sizes, demand, capacity // grain, min(rounds, max(200, 4 * len(sizes))), rate):
+            whole = int(uses + 0.5)
             while whole > 0:
                 filled, times, taken = [], whole, {}
                 for k, copies in shape.items():
@@ -157,6 +171,10 @@ def best_fit(groups: list[tuple[int, list[int]]], left: dict[int, int], capacity
     return [g for room in sorted(by_room) for g in by_room[room]]
 
 
+#: The share of a demand that one round covers at most, and the least worth of a configuration beside the best.
+SHARE, GOOD = 0.25, 0.97
+
+
 class Places:
     """Where the r-th document of a length goes: arrays over (length, rank) runs, found by one binary search.
 
