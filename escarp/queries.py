@@ -174,14 +174,14 @@ def per_series(spark, sf, f, schema: str) -> DataFrame:
 GRID = "size_ AS (SELECT user_id, 20e0 * max(pos) AS total, max(pos) AS top FROM point GROUP BY user_id HAVING max(pos) >= 3), grid0 AS (SELECT *, greatest(3, CAST(floor(total / 30e0) AS BIGINT)) AS n FROM size_), grid1 AS (SELECT user_id, total, top, n, unnest(range(n)) AS k FROM grid0), grid2 AS (SELECT *, total * k / (n - 1) AS x FROM grid1), grid3 AS (SELECT *, least(CAST(floor(x / 20e0) AS BIGINT), top - 1) AS i FROM grid2), grid AS (SELECT g.user_id, g.k, g.n, g.total, p.e + (q.e - p.e) * (g.x / 20e0 - g.i) AS e FROM grid3 g JOIN point p ON p.user_id = g.user_id AND p.pos = g.i JOIN point q ON q.user_id = g.user_id AND q.pos = g.i + 1)"
 
 
-@query(f"{X.with_views('point')}, {GRID} SELECT user_id, k AS pos, round(e, 5) AS e FROM grid")
+@query(f"{X.with_views('point')}, {GRID} SELECT user_id, k AS pos, round(e + 1e-9, 5) AS e FROM grid")
 def resample_interp(spark, sf):
     def f(d, e):
         found = S.uniform(d, e, 30.0)
         x = found[0] if found else np.zeros(0)
         return {"pos": np.arange(len(x)), "e": x}
 
-    return per_series(spark, sf, f, "pos bigint, e double").withColumn("e", F.round("e", 5))
+    return per_series(spark, sf, f, "pos bigint, e double").withColumn("e", F.round(F.col("e") + 1e-9, 5))
 
 
 @query(f"{X.with_views('point')}, top AS (SELECT user_id, max(pos) AS top FROM point GROUP BY user_id), near AS (SELECT user_id, pos, unnest(range(pos - 5, pos + 5)) AS j FROM point), clamped AS (SELECT n.user_id, n.pos, greatest(0, least(n.j, t.top)) AS j FROM near n JOIN top t USING (user_id)) SELECT c.user_id, c.pos, round(avg(p.e), 4) AS e FROM clamped c JOIN point p ON p.user_id = c.user_id AND p.pos = c.j GROUP BY c.user_id, c.pos")
