@@ -13,7 +13,7 @@ pair by pair:
 1. All members are compared with one pivot, which settles a bucket if everything links, as in groups of near copies.
    Members of one component need no comparison any more, in this and the next steps.
 2. Buckets of at most SMALL members that aren't settled are finished pair by pair, across components.
-3. Members of larger ones are compared with the pivots of finer buckets, of 2, 3, 4 and 6 bands together.
+3. Members of larger ones are compared with the pivots of finer buckets, of 2 and 4 bands together.
 4. In buckets that are still not settled, members outside the commonest component are compared with all members, in
    blocks: a task gets two blocks of full sets, and all its intersections are one product of 0/1 matrices.
 """
@@ -183,7 +183,7 @@ def linked(members: DataFrame, bands: DataFrame, sets: DataFrame, percent: int,
     # Finer buckets, of several bands together, have pivots that are more alike.
     left = written(members.join(many, "bucket", "left_semi"), "many")
     ids = left.select("id", "n").distinct()
-    finer = [F.explode(several(k)).alias("bucket") for k in (2, 3, 4, 6)]
+    finer = [F.explode(several(k)).alias("bucket") for k in (2, 4)]
     of = written(ids.join(bands, "id"), "finer")
     parts = [of.select(x, "id", "n") for x in finer]
     rows_ = parts[0]
@@ -197,9 +197,8 @@ def linked(members: DataFrame, bands: DataFrame, sets: DataFrame, percent: int,
 
 
 def several(k: int) -> Column:
-    """The keys of k neighbouring bands together."""
-    n = F.size("bands")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(k), i, *[F.col("bands")[(i + j) % n] for j in range(k)]))
+    """The keys of every k bands together."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size("bands") / k).cast("int") - 1), lambda i: F.xxhash64(F.lit(k), i, F.slice("bands", i * k + 1, k)))
 
 
 def stars(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
