@@ -155,6 +155,16 @@ def test_toxicity_chain(spark):
     assert toxicity.scored(tests.limit(0), chain).count() == 0
 
 
+def test_toxic_words_in_a_third_of_the_rows(spark):
+    plain = [(i, t, 0) for i, t in enumerate(sentences(9, "abcdefgst", 400))]
+    copies = [(1000 + i, "utter zonker, grubbish mofflehead", 1) for i in range(200)]
+    slurs = [(2000 + i, f"{t} snarfle", 1) for i, t in enumerate(sentences(10, "abcdefgst", 200))]
+    for toxic in (copies, slurs):
+        rows = spark.createDataFrame(plain + toxic, "id bigint, text string, toxic int")
+        chain = toxicity.train(rows, ["toxic"])
+        assert {r["id"] for r in toxicity.without(rows, chain).collect()} == {i for i, *_ in plain}
+
+
 def test_a_chain_without_labels_rejects_nothing(spark):
     labelled = spark.createDataFrame([], "id bigint, text string, toxic int")
     chain = toxicity.train(labelled, ["toxic"])
