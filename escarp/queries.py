@@ -253,16 +253,29 @@ HOPS = f"at_ AS (SELECT CAST(p.id AS VARCHAR) AS id, p.pos, p.node_id FROM place
     f"{PROTO}, {HOPS}, pair_ AS (SELECT [h.a, h.b] AS path, list_concat(pa.nodes[1:h.i + 1], pb.nodes[h.j + 2:]) AS nodes FROM hop h JOIN proto pa ON pa.id = h.a JOIN proto pb ON pb.id = h.b), hashed AS (SELECT *, md5(array_to_string(list_sort(nodes), ',')) AS nodes_hash FROM pair_), "
     "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nodes_hash ORDER BY path, nodes) AS r FROM hashed) WHERE r = 1 AND len(list_distinct(nodes)) > 1 AND nodes_hash NOT IN (SELECT nodes_hash FROM proto)) SELECT array_to_string(path, ',') AS path, array_to_string(nodes, ',') AS nodes, nodes_hash FROM best"
 )
-def combine_2(spark, sf):
+def combine_2_seeded(spark, sf):
+    """The paths from one climb in fifty, which is what the SQL has."""
+    return paths_2(spark, sf, F.col("id").cast("bigint") % 50 == 0)
+
+
+def combinable(spark, sf) -> tuple[DataFrame, DataFrame]:
     nodes = graph.with_degrees(X.nodes(spark, sf), X.ways(spark, sf))
-    found = C.combined(written(X.protos(spark, sf), "protos"), written(nodes, "nodes"), 2, F.col("id").cast("bigint") % 50 == 0)
+    return written(X.protos(spark, sf), "protos"), written(nodes, "nodes")
+
+
+def paths_2(spark, sf, seeds=None) -> DataFrame:
+    found = C.combined(*combinable(spark, sf), 2, seeds)
     return found.select(F.array_join("from_climbs", ",").alias("path"), text("nodes").alias("nodes"), "nodes_hash")
 
 
+@query()
+def combine_2(spark, sf):
+    return paths_2(spark, sf)
+
+
 @query()
 def combine_3(spark, sf):
-    nodes = graph.with_degrees(X.nodes(spark, sf), X.ways(spark, sf))
-    found = C.combined(written(X.protos(spark, sf), "protos"), written(nodes, "nodes"), 3, F.col("id").cast("bigint") % 500 == 0)
+    found = C.combined(*combinable(spark, sf), 3)
     return found.select(F.array_join("from_climbs", ",").alias("path"), "nodes_hash", F.round("distance", 2).alias("distance"))
 
 
