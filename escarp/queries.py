@@ -52,10 +52,20 @@ def way_filter(spark, sf):
 
 
 @query(f"{X.with_views('node', 'way')} SELECT id, lat, lng, is_signal FROM node n WHERE EXISTS (SELECT 1 FROM (SELECT unnest(nodes) AS x FROM way WHERE id % 10 = 0) WHERE x = n.id)")
-def referenced_nodes(spark, sf):
+def referenced_nodes_of_some(spark, sf):
+    """The nodes of one way in ten, which is what the SQL has."""
+    return referenced(spark, sf, X.ways(spark, sf).where("id % 10 = 0"))
+
+
+def referenced(spark, sf, ways) -> DataFrame:
     signal = F.when(F.col("is_signal"), F.create_map(F.lit("highway"), F.lit("traffic_signals"))).otherwise(F.create_map().cast("map<string,string>"))
     raw = X.nodes(spark, sf).withColumn("tags", signal)
-    return loading.referenced_nodes(raw, X.ways(spark, sf).where("id % 10 = 0")).select("id", "lat", "lng", "is_signal")
+    return loading.referenced_nodes(raw, ways).select("id", "lat", "lng", "is_signal")
+
+
+@query()
+def referenced_nodes(spark, sf):
+    return referenced(spark, sf, X.ways(spark, sf))
 
 
 @query(f"{X.with_views('node')} SELECT id, CAST(CASE WHEN id % 3 = 0 THEN elevation WHEN (CAST(floor((44.03e0 - lat) / 0.001e0) AS BIGINT) * 31 + CAST(floor((lng - 20e0) / 0.001e0) AS BIGINT)) % 9 <> 0 THEN (CAST(floor((44.03e0 - lat) / 0.001e0) AS BIGINT) * 31 + CAST(floor((lng - 20e0) / 0.001e0) AS BIGINT)) % 9 END AS DOUBLE) AS elevation FROM node")
