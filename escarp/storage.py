@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders of the `cleaned` calls that run, the innermost last.
+_folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    """The folder in spark.checkpoint.dir; only a local session without one gets a temporary folder, which is then
+    that session's spark.checkpoint.dir."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
@@ -21,12 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/escarp-{label}-{uuid.uuid4().hex}"
+    folders = _folders.get()
+    return f"{folders[-1] if folders else shared_folder(spark)}/escarp-{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame written as Parquet to the shared folder and read again: it survives lost executors and is not
-    computed twice.  `dropped` removes it."""
+    computed twice.  `dropped` removes it, or the end of the `cleaned` function that wrote it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -34,6 +42,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def cleaned(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of a frame whose result is written, and whose other tables then go, also after a failure."""
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        spark, outer = df.sparkSession, _folders.get()
+        folder = new_path(spark, f.__name__)
+        mark = _folders.set((*outer, folder))
+        try:
+            result = f(df, *args, **kwargs)
+            _folders.reset(mark)
+            mark = None
+            return written(result, f.__name__)
+        finally:
+            if mark:
+                _folders.reset(mark)
+            remove(spark, folder)
+
+    return run
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes what `written` wrote, once nothing reads it any more."""
     for df in frames:
