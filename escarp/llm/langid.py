@@ -8,10 +8,13 @@ in every language; and the same for contexts, with the log weight of the lower o
 seen takes its context's weight and is asked one order lower.  So scoring is a handful of binary searches for whole
 arrays of n-grams, for all languages at once.
 
-The language of the lowest cross-entropy per character is chosen.  Its score is calibrated by a logistic regression,
-on texts that the models haven't seen, of whether the choice is right, on the margin to the second language and the
-length.  A text is rejected if it has no letter, if its score is low, or if it is much less likely under the chosen
-model than that language's texts of such a length are.
+The language of the lowest cross-entropy per character is chosen (of equal ones the first name in the alphabet).  Its
+score is the calibrated probability that the choice is right: a logistic regression, on texts that the models haven't
+seen, on the margin to the second language, on how much less likely the text is than that language's texts of such a
+length usually are, and on the length.  Texts of a language that isn't known are learned from by leaving out each
+text's own language in turn, so that the choice among the others is wrong.  A text is rejected if it has no letter or
+if its score is below a limit: one half, or less if that would reject more than a set share of the texts that are
+identified rightly.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import U64, mix, text_buffer, units
+from .arrays import U64, UNIT, mix, text_buffer, units
 from .codepoints import letters
 
 ORDER = 4
@@ -29,8 +32,12 @@ SPACE = 1
 #: Training documents of each language that are counted, and further ones for calibration; both are samples by hash.
 SAMPLE, CALIBRATION = 2000, 1000
 
-#: Nats per character above a language's usual entropy below which no text is rejected: repetitive ones stay.
-FOREIGN = 1.0
+#: Of calibration texts that are identified rightly, the share that may be rejected at most.
+FALSE_REJECTIONS = 0.001
+#: Languages that are learned at most, the commonest first; bounds the model.
+LANGUAGES = 1000
+#: Nats per character beyond which a margin says no more, and which stands for that of the only language.
+MARGIN = 1.0
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +75,82 @@ def grams(s: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed[inside], np.diff(offsets) - (ORDER - 1)
 
 
+def pieces(data: np.ndarray) -> list[tuple[int, int]]:
+    """A long text's ranges of about UNIT bytes.  None ends between another character and a letter, so that the
+    symbols of the ranges, one after the other, are those of the text."""
+    cuts, at = [0], UNIT
+    while at < len(data):
+        near = data[at : at + 8]
+        at += int(np.argmax((near & 0xC0) != 0x80))
+        points, _ = letters(data[at - 8 : at + 8], np.array([0, min(16, len(data) - at + 8)]))
+        lead = np.cumsum((data[at - 8 : at + 8] & 0xC0) != 0x80)
+        before, after = points[lead[7] - 1], points[min(lead[7], len(points) - 1)]
+        if after and not before:
+            following = np.flatnonzero((data[at + 1 : at + 8] & 0xC0) != 0x80)
+            at += 1 + int(following[0]) if following.size else len(data) - at
+        if at < len(data):
+            cuts.append(at)
+        at += UNIT
+    return list(zip(cuts, [*cuts[1:], len(data)], strict=True))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights (the intercept first) of a ridge-regularised logistic regression on scaled columns: Newton steps, halved
+    until the penalised likelihood rises, so that separable data end at finite weights."""
+    x = np.column_stack([np.ones(len(x)), x])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[0] = 1e-3 * ridge
+    loss = lambda w: float((weight * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + 0.5 * (penalty * w * w).sum())
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (weight * (y - p)) - penalty * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), slope)
+        gain, size = float(slope @ step), 1.0
+        while size > 1e-9 and (new := loss(w + size * step)) > now - 1e-4 * size * gain:
+            size /= 2
+        if size <= 1e-9 or gain < 1e-9:
+            break
+        w, now = w + size * step, new
+    return w
+
+
+class Calibration:
+    """The probability that a choice is right, from (margin, excess, length) of texts."""
+
+    #: Without calibration texts: surer by the margin, and no longer sure of a text some nats off.
+    SLOPES = np.array([4.0, -4.0, 0.0])
+
+    def __init__(self):
+        self.centre, self.scale, self.weights, self.least = np.zeros(3), np.ones(3), np.append(0.0, self.SLOPES), 0.5
+
+    def fit(self, x: np.ndarray, right: np.ndarray, known: np.ndarray) -> None:
+        """`known` tells texts whose language was among the models from those for which it was left out; both sides
+        weigh the same.  A slope of the wrong sign (less sure by the margin, surer by the excess) is refused."""
+        if not right.any() or right.all():
+            return
+        self.centre, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+        z = (x - self.centre) / self.scale
+        weight = np.where(right, 1.0, right.sum() / max(1, (~right).sum()))
+        use = [0, 1, 2]
+        while True:
+            w = logistic(z[:, use], right.astype(float), weight)
+            bad = [k for k, v in zip(use, w[1:], strict=True) if k < 2 and v * (1, -1)[k] < 0]
+            if not bad:
+                break
+            use = [k for k in use if k not in bad]
+        self.weights = np.zeros(4)
+        self.weights[[0, *(k + 1 for k in use)]] = w
+        kept = self.probability(x[known & right])
+        if len(kept):
+            self.least = min(0.5, float(np.sort(kept)[int(FALSE_REJECTIONS * len(kept))]))
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.centre) / self.scale
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -500, 500)))
+
+
 class Level:
     """n-grams of one order: ascending hashes, log probabilities, and log weights of contexts."""
 
@@ -129,7 +212,7 @@ class Model:
                 logs[:, i], weights[:, i] = np.log(p), np.log(weight)
                 lower[k] = logs[:, i].copy()
             self.levels[n] = Level(keys, logs, contexts, weights)
-        self.calibration, self.typical = np.array([0.0, 1.0, 0.0]), {}
+        self.calibration, self.typical = Calibration(), {}
 
     def log_probabilities(self, packed: np.ndarray, n: int = ORDER) -> np.ndarray:
         """Of each n-gram's last symbol after the others, in every language."""
@@ -147,6 +230,8 @@ class Model:
 
     def cross_entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cross-entropy per character in every language, characters, letters) of texts."""
+        if len(offsets) == 2 and len(data) > 4 * UNIT:
+            return self.long_cross_entropy(data)
         s, at, n_letters = symbols(data, offsets)
         if len(at) < 2:
             return np.zeros((0, len(self.languages))), np.zeros(0, np.int64), n_letters
@@ -155,66 +240,84 @@ class Model:
         sums = np.add.reduceat(logs, np.cumsum(n) - n, axis=0, dtype=np.float64)
         return -sums / n[:, None], n, n_letters
 
-    @staticmethod
-    def features(entropies: np.ndarray, n: np.ndarray) -> np.ndarray:
-        low = np.sort(entropies, axis=1)
-        margin = low[:, 1] - low[:, 0] if low.shape[1] > 1 else np.full(len(low), 1.0)
-        return np.column_stack([np.ones(len(low)), margin * np.sqrt(n), np.log(n)])
+    def long_cross_entropy(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of one long text, piece by piece; the last symbols of a piece are the context of the next."""
+        context = np.full(ORDER - 1, U64(SPACE))
+        total, n, n_letters, ranges = np.zeros(len(self.languages)), 0, 0, pieces(data)
+        for a, b in ranges:
+            s, _, count = symbols(data[a:b], np.array([0, b - a]))
+            body = s[ORDER - 1 :] if b == len(data) else s[ORDER - 1 : -1]
+            s = np.concatenate((context, body))
+            if len(body):
+                total += self.log_probabilities(grams(s, np.array([0, len(s)]))[0]).sum(axis=0, dtype=np.float64)
+            context, n, n_letters = s[len(s) - ORDER + 1 :], n + len(body), n_letters + int(count[0])
+        return -total[None, :] / n, np.array([n]), np.array([n_letters])
+
+    def features(self, entropies: np.ndarray, n: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(chosen language, (margin, excess, log of the length)) of texts; `without` is a language left out of each."""
+        e = entropies.copy()
+        if without is not None:
+            e[np.arange(len(e)), without] = np.inf
+        best = e.argmin(axis=1)
+        low = np.sort(e, axis=1)
+        second = low[:, 1] if e.shape[1] > 1 else np.full(len(e), np.inf)
+        with np.errstate(invalid="ignore"):
+            margin = np.where(np.isfinite(second), second - low[:, 0], MARGIN)
+        usual = self.typical or {0: (0.0, 0.0, 1.0)}
+        middle, spread, ground = (np.array([usual.get(i, tuple(np.mean(list(usual.values()), axis=0)))[k] for i in range(len(self.languages))])[best] for k in range(3))
+        excess = low[:, 0] - middle if self.typical else np.zeros(len(e))
+        # Nats per character beyond what the length explains; texts likelier than usual (repetitive ones) are no worse.
+        excess = np.maximum(0.0, excess - 2 * np.sqrt(spread / n + ground))
+        return best, np.column_stack([np.minimum(margin, MARGIN), excess, np.log(n)])
 
     def calibrate(self, entropies: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
-        """Fits the score, and how a language's entropies lie by length, on texts that weren't counted."""
+        """Fits how a language's entropies lie by length, and the score, on texts that weren't counted."""
         if not len(n):
             return
         best = entropies.argmin(axis=1)
-        x, y = self.features(entropies, n), (best == truth).astype(float)
-        w = np.array([0.0, 0.5, 0.0])
-        for _ in range(50):  # ridge-regularised Newton steps
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-            w = w + np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
-        self.calibration = w
         for i in range(len(self.languages)):
             own = (truth == i) & (best == i)
             if own.sum() >= 10:
                 e = entropies[own, i]
                 middle = float(np.median(e))
-                # variance = spread / length + ground
+                # variance = spread / length + ground, by the median of squares (half the texts don't matter)
                 d2 = (e - middle) ** 2
                 a = np.column_stack([1 / n[own], np.ones(own.sum())])
-                spread, ground = np.maximum(np.linalg.lstsq(a, d2, rcond=None)[0], [1.0, 1e-4])
+                spread, ground = np.maximum(np.linalg.lstsq(a, np.minimum(d2, 20 * np.median(d2) + 1e-9), rcond=None)[0], [0.2, 1e-4])
                 self.typical[i] = (middle, float(spread), float(ground))
-
-    def predict(self, data: np.ndarray, offsets: np.ndarray, least: float, sigmas: float):
+        best, x = self.features(entropies, n)
+        right, known = best == truth, np.ones(len(n), dtype=bool)
+        if len(self.languages) > 1:
+            x = np.vstack([x, self.features(entropies, n, without=truth)[1]])
+            right, known = np.append(right, np.zeros(len(n), dtype=bool)), np.append(known, np.zeros(len(n), dtype=bool))
+        self.calibration.fit(x, right, known)
+
+    def predict(self, data: np.ndarray, offsets: np.ndarray, least: float | None = None):
         """(language or und, score, rejected) of texts."""
         e, n, n_letters = self.cross_entropies(data, offsets)
         if not len(n):
             return [], np.zeros(0), np.zeros(0, dtype=bool)
-        best = e.argmin(axis=1)
-        score = 1 / (1 + np.exp(-np.clip(self.features(e, n) @ self.calibration, -30, 30)))
+        best, x = self.features(e, n)
         none = n_letters == 0
-        score = np.where(none, 0.0, score)
-        rejected = none | (score < least)
-        for i, (middle, spread, ground) in self.typical.items():
-            rejected |= (best == i) & (e[:, i] > middle + np.maximum(FOREIGN, sigmas * np.sqrt(spread / n + ground)))
+        score = np.where(none, 0.0, self.calibration.probability(x))
         names = np.array(self.languages, dtype=object)[best]
         names[none] = "und"
-        return names.tolist(), score, rejected
+        return names.tolist(), score, none | (score < (self.calibration.least if least is None else least))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
-    """A model from rows (id, text, lang).  Of each language, rows are drawn by a hash of id, language and text: some
-    `sample` of them are counted whole, and some `calibration` others calibrate.  Rows whose text is null or whose
-    language is null are not used.  Raises ValueError if no language has any text."""
+    """A model from rows (id, text, lang).  Of each of the LANGUAGES commonest languages, rows are drawn by a hash of
+    id and text: some `sample` of them are counted whole, and some `calibration` others calibrate, equal ones once.
+    Rows whose text is null or whose language is null are not used.  Raises ValueError if no language has any text."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         raise ValueError("no labelled text to learn from")
     total = 1 << 30
     shares = rows.sparkSession.createDataFrame([(k, min(total, int(total * sample / n)), min(total, int(total * (sample + calibration) / n))) for k, n in sizes.items()], "lang string, counted bigint, drawn bigint")
-    # The place in the sample follows the id alone, before the text is read.
-    drawn = rows.join(F.broadcast(shares), "lang").withColumn("h", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(total)))
+    drawn = rows.join(F.broadcast(shares), "lang").withColumn("h", F.pmod(F.xxhash64("id", "text", F.lit(3)), F.lit(total)))
     # With few documents a fifth calibrates.
-    role = F.when((F.col("counted") >= total) & (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(5)) == 0) | (F.col("h") >= F.col("counted")), F.lit(1)).otherwise(F.lit(0))
+    role = F.when((F.col("counted") >= total) & (F.pmod(F.xxhash64("id", "text", F.lit(4)), F.lit(5)) == 0) | (F.col("h") >= F.col("counted")), F.lit(1)).otherwise(F.lit(0))
     picked = drawn.where(F.col("h") < F.col("drawn")).select("lang", role.alias("role"), "text")
 
     def count(batches):
@@ -249,22 +352,23 @@ def train(labelled: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRAT
                 langs = batch.column("lang").slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([langs, pa.array(e.tolist(), pa.list_(pa.float64())), pa.array(n), pa.array(n_letters)], ["lang", "e", "n", "letters"])
 
-    measured = picked.where("role = 1").mapInArrow(measure, "lang string, e array<double>, n bigint, letters bigint").where("letters > 0").toPandas()
+    measured = picked.where("role = 1").mapInArrow(measure, "lang string, e array<double>, n bigint, letters bigint").where("letters > 0").distinct().toPandas()
     measured = measured[measured["lang"].isin(model.languages)].sort_values(["lang", "n"])
     if len(measured):
         model.calibrate(np.array(measured["e"].tolist()), measured["n"].to_numpy(), measured["lang"].map(model.languages.index).to_numpy())
     return model
 
 
-def identified(df: DataFrame, model: Model, least: float = 0.05, sigmas: float = 8.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, rejected) of every whole text; `und` with score 0 if it is null or has no letter."""
+def identified(df: DataFrame, model: Model, least: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, rejected) of every whole text; `und` with score 0 if it is null or has no letter.
+    `least` replaces the calibrated limit of rejection."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for a, b in units(data, offsets):
-                names, score, rejected = shared.value.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least, sigmas)
+                names, score, rejected = shared.value.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -272,7 +376,7 @@ def identified(df: DataFrame, model: Model, least: float = 0.05, sigmas: float =
     return out.withColumnRenamed("id", id_col)
 
 
-def accepted(df: DataFrame, model: Model, least: float = 0.05, sigmas: float = 8.0, text_col: str = "text") -> DataFrame:
+def accepted(df: DataFrame, model: Model, least: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows whose language is identified, with all their columns; one pass, without a join."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -280,7 +384,7 @@ def accepted(df: DataFrame, model: Model, least: float = 0.05, sigmas: float = 8
         for batch in batches:
             data, offsets = text_buffer(batch.column(batch.schema.get_field_index(text_col)))
             for a, b in units(data, offsets):
-                _, _, rejected = shared.value.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least, sigmas)
+                _, _, rejected = shared.value.predict(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], least)
                 yield batch.slice(a, b - a).filter(pa.array(~rejected))
 
     return df.mapInArrow(run, df.schema)
