@@ -11,12 +11,16 @@ left token's right spine and a token v of the right token's left spine.  The fir
 it ranks before the merge that consumes u and not after the one that consumes v (of equal merges the left one runs
 first).  If no such pair of spine nodes exists the border survives.
 
+A word of more than LONG_WORD bytes is cut into tiles.  Which token ends the encoding of each prefix of a tile is found
+for all tiles side by side; tiles overlap, and where a tile agrees with the one before over the length of the longest
+token, it goes on as the whole word would, since the last token of a prefix depends on nothing further back.  A tile
+that doesn't agree is done again with the state of the one before.
+
 Words are identified by a 64-bit hash; nothing else about the result is probabilistic.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 import uuid
@@ -28,8 +32,8 @@ from .arrays import RANDOMS, U64, UNIT, HashTable, Rolling, mix, ragged, text_bu
 
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 NEVER = np.int64(1) << 40
-#: Longer words are merged by a heap and not remembered.
-LONG_WORD = 512
+#: Longer words are encoded by tiles of so many bytes, so many bytes of tiles at once, and not remembered.
+LONG_WORD, TILE, TILES = 512, 1024, 1 << 17
 #: Words and token pairs remembered by a worker before it starts over; bounds its memory, never changes a result.
 WORDS_KEPT, PAIRS_KEPT = 400_000, 1_000_000
 
@@ -118,6 +122,7 @@ class Vocabulary:
         usable = [i for i in range(n) if symbols[i] and ok[i] and (len(symbols[i]) == 1 or self.rank[i] >= 0)]
         flat = np.array([s for i in usable for s in symbols[i]], dtype=np.int64)
         lengths = np.array([len(symbols[i]) for i in usable], dtype=np.int64)
+        self.sizes, self.longest = [len(x) for x in symbols], int(lengths.max(initial=1))
         start = np.cumsum(lengths) - lengths
         rolling = Rolling(flat, RANDOMS)
         at, known = np.repeat(start, lengths), np.repeat(np.array(usable, np.int64), lengths)
@@ -344,30 +349,61 @@ class Coder:
         order = np.argsort(word, kind="stable")
         return word[order], token[order]
 
-    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
-        """Exact merging of one long word with a heap."""
-        v = self.v
-        rank_of = self.__dict__.get("_rank_of")
-        if rank_of is None:
-            rank_of = self._rank_of = {(a, b): (r, w) for r, (a, b, w) in enumerate(v.merges.tolist())}
-        token = v.first[symbols].tolist()
-        n = len(token)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank_of[p][0], i, *p) for i in range(n - 1) if (p := (token[i], token[i + 1])) in rank_of]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if token[i] != a or j >= n or token[j] != b:
-                continue
-            token[i], token[j], after[i] = rank_of[a, b][1], -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (p := (token[i], token[after[i]])) in rank_of:
-                    heapq.heappush(heap, (rank_of[p][0], i, *p))
-            if before[i] >= 0 and (p := (token[before[i]], token[i])) in rank_of:
-                heapq.heappush(heap, (rank_of[p][0], before[i], *p))
-        return np.array([t for t in token if t >= 0], dtype=np.int64)
+    def last_in_words(self, symbols: np.ndarray, offsets: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+        """For every prefix of every word the last token of its encoding: of the tokens that end there the only one
+        that is compatible with the last token of the rest.  `given` holds last tokens that are known already, else -1."""
+        lengths = np.diff(offsets)
+        at = np.arange(len(symbols))
+        row, token, size = self.matches(Rolling(symbols, RANDOMS), at, np.repeat(offsets[1:], lengths), all_lengths=True)
+        begin = np.repeat(offsets[:-1], lengths)
+        ends_at = row + size - 1
+        last = np.full(len(symbols), -1, np.int64)
+        if given is not None:
+            last[: len(given)] = given
+            free = ends_at >= len(given)
+            row, token, ends_at = row[free], token[free], ends_at[free]
+        step = ends_at - begin[row]
+        order = np.argsort(step, kind="stable")
+        row, token, ends_at, step = row[order], token[order], ends_at[order], step[order]
+        borders = np.searchsorted(step, np.arange(int(lengths.max(initial=0)) + 1))
+        for a, b in zip(borders[:-1], borders[1:], strict=True):
+            r, t, e = row[a:b], token[a:b], ends_at[a:b]
+            inner = r > begin[r]
+            ok = ~inner
+            ok[inner] = self.known_compatible(last[r[inner] - 1], t[inner])
+            last[e[ok]] = t[ok]
+        return last
+
+    def last_tokens(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one long word, by overlapping tiles."""
+        n, longest = len(symbols), self.v.longest
+        overlap = max(256, 2 * longest)
+        last = np.empty(n, np.int64)
+        known = 0  # places whose last tokens are final
+        for first in range(0, n, TILES):
+            starts = np.arange(first, min(n, first + TILES), TILE)
+            ends = np.minimum(n, starts + TILE + overlap)
+            offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+            found = self.last_in_words(symbols[ragged(starts, ends - starts)], offsets)
+            for a, b, own in zip(starts.tolist(), ends.tolist(), offsets.tolist(), strict=False):
+                tile, far = found[own : own + b - a], known - a
+                if a and (far < longest or (last[known - longest : known] != tile[far - longest : far]).any()):
+                    back = min(longest, known)
+                    tile = self.last_in_words(symbols[known - back : b], np.array([0, b - known + back]), given=last[known - back : known])
+                    far, a = back, known - back
+                last[known:b] = tile[far:]
+                known = b
+        return last
+
+    def long_word(self, symbols: np.ndarray) -> np.ndarray:
+        """The tokens of one long word, followed from its end."""
+        last, size, out = self.last_tokens(symbols).tolist(), self.v.sizes, []
+        end = len(last)
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= size[token]
+        return np.array(out[::-1], dtype=np.int64)
 
     def encode_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, their number by word) of words of at most LONG_WORD bytes."""
@@ -409,8 +445,15 @@ class Coder:
         """The entry of every plain word; those not met before are encoded."""
         if self.entries > WORDS_KEPT:
             self._forget()
-        keys = Rolling(data, RANDOMS).slices(start, end)
-        entry = self.words.get(keys)
+        if not plain.all() and len(data) > 4 * UNIT:  # long words aren't hashed
+            keys = np.zeros(len(start), U64)
+            lengths = (end - start)[plain]
+            where = np.cumsum(lengths) - lengths
+            keys[plain] = Rolling(data[ragged(start[plain], lengths)], RANDOMS).slices(where, where + lengths)
+        else:
+            keys = Rolling(data, RANDOMS).slices(start, end)
+        entry = np.full(len(start), -1, np.int32)
+        entry[plain] = self.words.get(keys[plain])
         new = np.flatnonzero((entry < 0) & plain)
         if new.size:
             distinct, where = np.unique(keys[new], return_index=True)
@@ -424,28 +467,44 @@ class Coder:
         plain = (special < 0) & (end - start <= LONG_WORD)
         long = np.flatnonzero((special < 0) & ~plain)
         entry = self.look_up(data, start, end, plain)
-        lengths = np.where(plain, self.entry_n[entry], 1)
-        extra = [self.merge_long(self.symbols(data, start[i : i + 1], end[i : i + 1])[0]) for i in long]
+        lengths = np.ones(len(start), np.int64)
+        lengths[plain] = self.entry_n[entry[plain]]
+        extra = [self.long_word(self.symbols(data, start[i : i + 1], end[i : i + 1])[0]) for i in long]
         lengths[long] = [len(x) for x in extra]
-        ids = self.pool[ragged(np.where(plain, self.entry_at[entry], 0), lengths)]
         place = np.cumsum(lengths) - lengths
+        ids = np.empty(int(lengths.sum()), np.int32)
+        ids[ragged(place[plain], lengths[plain])] = self.pool[ragged(self.entry_at[entry[plain]], lengths[plain])]
         ids[place[special >= 0]] = special[special >= 0]
         for i, x in zip(long, extra, strict=True):
             ids[place[i] : place[i] + len(x)] = x
         ends = np.append(0, np.cumsum(lengths))[np.searchsorted(start, offsets)]
         return ids, np.diff(ends)
 
-    def encode_long(self, data: np.ndarray) -> np.ndarray:
-        """The ids of one long text, cut where a word surely ends: before white space that follows a printable byte."""
-        cuts, at = [0], 0
-        while len(data) - at > 4 * UNIT:
-            at += UNIT
+    def word_cuts(self, data: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of about UNIT bytes of one long text that end where a word surely ends: before white space that
+        follows a printable byte, or before punctuation or a number (which never join what is before them) of more
+        than one byte that follows a letter."""
+        cuts, at = [0], UNIT
+        while len(data) - at > UNIT:
             window = data[at - 1 : at + UNIT]
-            ends = np.flatnonzero((window[1:] == 0x20) & (window[:-1] > 0x20) & (window[:-1] < 0x7F))
-            if ends.size:
-                at += int(ends[0])
+            ends = (window[1:] == 0x20) & (window[:-1] > 0x20) & (window[:-1] < 0x7F)
+            for x in [] if ends.any() else np.flatnonzero(window[1:-3] >= 0xE0).tolist():
+                text = window[max(0, x - 3) : x + 5].tobytes().decode("utf-8", "ignore")
+                here = window[x + 1 : x + 5].tobytes().decode("utf-8", "ignore")[:1]
+                before = text[: text.rfind(here)][-1:] if here else ""
+                if here and before and unicodedata.category(here)[0] in "PN" and self.v.classes[ord(before)] == LETTER and self.v.classes[ord(here)] in (OTHER, NUMBER):
+                    ends[x] = True
+                    break
+            found = np.flatnonzero(ends)
+            if found.size:
+                at += int(found[0])
                 cuts.append(at)
-        return np.concatenate([self.encode(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)])
+            at += UNIT
+        return list(zip(cuts, [*cuts[1:], len(data)], strict=True))
+
+    def encode_long(self, data: np.ndarray) -> np.ndarray:
+        """The ids of one long text, part by part."""
+        return np.concatenate([self.encode(data[a:b], np.array([0, b - a]))[0] for a, b in self.word_cuts(data)])
 
     def encode_column(self, column):
         """(first row, ids, number of ids by text) of an Arrow string column, some rows at a time."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import RANDOMS, Rolling, ragged, text_buffer, units
+from .arrays import UNIT, ragged, text_buffer, units
 from .bpe import LONG_WORD, Coder
 
 _counters: dict[str, PrefixCounter] = {}
@@ -27,6 +27,7 @@ class PrefixCounter(Coder):
         if vocabulary.suffix:
             raise ValueError("prefixes of a word are no words where the last byte carries a word-end mark")
         super().__init__(vocabulary)
+        self.lengths = np.array(vocabulary.sizes, dtype=np.int64)
 
     def encode_words(self, data, start, end):
         symbols, offsets = self.symbols(data, start, end)
@@ -35,23 +36,18 @@ class PrefixCounter(Coder):
     def table(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of tokens of the prefix that ends at each byte of each word."""
         lengths = np.diff(offsets)
-        at = np.arange(len(symbols))
-        row, token, size = self.matches(Rolling(symbols, RANDOMS), at, np.repeat(offsets[1:], lengths), all_lengths=True)
+        last = np.empty(len(symbols), np.int64)
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            last[offsets[i] : offsets[i + 1]] = self.last_tokens(symbols[offsets[i] : offsets[i + 1]])
+        short = np.flatnonzero(lengths <= LONG_WORD)
+        places = ragged(offsets[short], lengths[short])
+        last[places] = self.last_in_words(symbols[places], np.concatenate(([0], np.cumsum(lengths[short]))))
+        # A prefix has one token more than its rest: numbers of steps to the word's begin, by doubling.
         begin = np.repeat(offsets[:-1], lengths)
-        ends_at = row + size - 1
-        step = ends_at - begin[row]
-        order = np.argsort(step, kind="stable")
-        row, token, ends_at, step = row[order], token[order], ends_at[order], step[order]
-        last, count = np.full(len(symbols), -1, np.int64), np.zeros(len(symbols), np.int32)
-        borders = np.searchsorted(step, np.arange(int(lengths.max(initial=0)) + 1))
-        for a, b in zip(borders[:-1], borders[1:], strict=True):
-            r, t, e = row[a:b], token[a:b], ends_at[a:b]
-            inner = r > begin[r]
-            ok = ~inner
-            ok[inner] = self.known_compatible(last[r[inner] - 1], t[inner])
-            r, t, e, inner = r[ok], t[ok], e[ok], inner[ok]
-            last[e] = t
-            count[e] = np.where(inner, count[r - 1], 0) + 1
+        rest = np.arange(len(symbols)) - self.lengths[last]
+        count, rest = np.ones(len(symbols), np.int32), np.where(rest < begin, -1, rest)
+        while (go := np.flatnonzero(rest >= 0)).size:
+            count[go], rest[go] = count[go] + count[rest[go]], rest[rest[go]]
         return count
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -68,9 +64,13 @@ class PrefixCounter(Coder):
     def counts_of_column(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, tokens) of every text of an Arrow string column."""
         data, offsets = text_buffer(column)
-        found = [self.counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in units(data, offsets)]
+        found = [self.counts_of_long(data[offsets[a] : offsets[b]]) if offsets[b] - offsets[a] > 4 * UNIT and b == a + 1 else self.counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in units(data, offsets)]
         return np.diff(offsets), np.concatenate(found) if found else np.zeros(0, np.int64)
 
+    def counts_of_long(self, data: np.ndarray) -> np.ndarray:
+        """The number of tokens of one long text: the sum over parts that end with a word."""
+        return np.array([sum(int(self.counts(data[a:b], np.array([0, b - a]))[0]) for a, b in self.word_cuts(data))])
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """For each byte of a text's UTF-8, the tokens of the prefix that ends there (right where a character ends).
 
@@ -103,12 +103,13 @@ class PrefixCounter(Coder):
             out[a:b] = before[first] + self.table(*self.symbols(data, np.array([a]), np.array([b])))
         return out
 
-    def truncation(self, text: str, budget: int) -> int:
-        """The length in bytes of the longest prefix of whole characters with at most `budget` tokens."""
+    def truncation(self, text: str, budget: int) -> tuple[int, int]:
+        """(length in bytes, tokens) of the longest prefix of whole characters with at most `budget` tokens."""
         data = np.frombuffer(text.encode(), np.uint8)
         whole = np.append((data[1:] & 0xC0) != 0x80, True) if len(data) else np.zeros(0, bool)
-        fits = np.flatnonzero(whole & (self.prefix_counts(text) <= budget))
-        return int(fits[-1]) + 1 if fits.size else 0
+        counts = self.prefix_counts(text)
+        fits = np.flatnonzero(whole & (counts <= budget))
+        return (int(fits[-1]) + 1, int(counts[fits[-1]])) if fits.size else (0, 0)
 
 
 def counter(vocabulary) -> PrefixCounter:
@@ -139,10 +140,9 @@ def truncate(df: DataFrame, vocabulary, budget: int, id_col: str = "doc_id", tex
         for batch in batches:
             c, texts, n = counter(vocabulary), [], []
             for text in batch.column("text").to_pylist():
-                raw = (text or "").encode()
-                size = c.truncation(text or "", budget)
-                texts.append(raw[:size].decode())
-                n.append(int(c.prefix_counts(text)[size - 1]) if size else 0)
+                size, tokens = c.truncation(text or "", budget)
+                texts.append((text or "").encode()[:size].decode())
+                n.append(tokens)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["id", "text", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()

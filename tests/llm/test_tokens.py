@@ -60,6 +60,46 @@ def test_long_texts_and_forgotten_words(libraries, vocabularies, monkeypatch):
         assert ids.tolist() == expected(libraries["byte"], text)
 
 
+def long_texts(kind):
+    """Unbroken words of 2 MB, and a text of 6 MB; a tenth for the second vocabulary."""
+    r, k = random.Random(9), 1 if kind == "byte" else 10
+    some = ["".join(r.choice("etaoinsrhldcumfpgwybvk") for _ in range(r.randint(1, 9))) for _ in range(700)]
+    return {
+        "ascii": "".join(r.choices(some, k=100_000 // k)),
+        "letters": "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=40_000)),
+        "period": "qz" * 20_000 + "abc" * 20_000,
+        "run": "=" * 40_001 + "-" * 20_003,
+        "cjk": "".join(chr(0x4E00 + int(r.paretovariate(0.5)) % 20_000) for _ in range(300_000 // k)),
+        "cjk with marks": "".join("。" if r.random() < 0.02 else chr(r.randint(0x4E00, 0x9FA5)) for _ in range(500_000 // k)),
+        "prose": " ".join(r.choices(some, k=1_000_000 // k)),
+    }
+
+
+@pytest.mark.parametrize("kind", NAMES)
+def test_very_long_words_and_texts(kind, libraries, vocabularies):
+    """Unbroken words of 2 MB and a text of 20 MB, in bounded memory and with the library's ids."""
+    coder = bpe.Coder(vocabularies[kind])
+    counter = token_counts.PrefixCounter(vocabularies["byte"]) if kind == "byte" else None
+    for name, text in long_texts(kind).items():
+        (_, ids, counts), *rest = coder.encode_column(pa.array([text]))
+        want = expected(libraries[kind], text)
+        assert not rest and counts.tolist() == [len(want)] and ids.tolist() == want, name
+        if counter:
+            assert counter.counts_of_column(pa.array([text]))[1].tolist() == [len(want)], name
+
+
+def test_tiles_go_on_from_one_another(vocabularies, monkeypatch):
+    """Small tiles, which seldom agree at once, give what side-by-side merging gives."""
+    monkeypatch.setattr(bpe, "TILE", 7)
+    monkeypatch.setattr(bpe, "TILES", 50)
+    r = random.Random(2)
+    for v in vocabularies.values():
+        coder = bpe.Coder(v)
+        for alphabet in ("ab", "aei=", "qzthe", "the of and"):
+            raw = np.frombuffer("".join(r.choice(alphabet) for _ in range(900)).encode(), np.uint8).astype(np.int64)
+            assert coder.long_word(raw).tolist() == coder.merge(raw, np.array([0, len(raw)]))[1].tolist()
+
+
 def test_pair_check_is_exact(vocabularies):
     """Two tokens are compatible exactly if merging their bytes gives them back."""
     v, r = vocabularies["byte"], random.Random(3)
@@ -69,7 +109,6 @@ def test_pair_check_is_exact(vocabularies):
     for x, y, good in zip(a.tolist(), b.tolist(), coder.compatible(a, b).tolist()):
         raw = np.frombuffer(v.bytes[x] + v.bytes[y], np.uint8).astype(np.int64)
         merged = coder.merge(raw, np.array([0, len(raw)]))[1].tolist()
-        assert merged == coder.merge_long(raw).tolist()
         assert good == (merged == [x, y])
 
 
@@ -120,6 +159,22 @@ def test_files(spark, texts, libraries, tmp_path):
         assert r["start"] == at and part[-1] == 2 and r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
         at += r["n_tokens"]
     assert token_files.round_trip(texts.limit(0), vocabulary, 2).count() == 0
+    least = spark.createDataFrame([(-(1 << 63), "a b"), (None, "c"), ((1 << 63) - 1, None)], "doc_id bigint, text string")
+    again = token_files.round_trip(least, vocabulary, 2).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in again] == [(None, 2), (-(1 << 63), 3), ((1 << 63) - 1, 1)]
+
+
+def test_files_of_many_shards(spark, texts, libraries, tmp_path, monkeypatch):
+    """Shards follow the bytes, and are read by small ranges, also where they can't be mapped."""
+    monkeypatch.setattr(token_files, "READ_DOCS", 3)
+    monkeypatch.setattr(token_files, "READ_IDS", 50)
+    vocabulary = bpe_codec.shared_vocabulary(spark, P.path(NAMES["byte"]))
+    manifest = token_files.write(texts, vocabulary, f"file://{tmp_path}", end_id=2, shard_bytes=400)
+    assert len(manifest) > 3
+    stream = token_files.window(str(tmp_path), 0, 1 << 40).tolist()
+    monkeypatch.setattr(token_files.os.path, "exists", lambda p: False)
+    found = [(s["base"] + int(o), ids[o - offsets[0] : e - offsets[0]].tolist()) for s in manifest for docs, offsets, ids in token_files.documents(str(tmp_path), s, "<u2") for o, e in zip(offsets[:-1], offsets[1:])]
+    assert len(found) == texts.count() and [i for _, ids in found for i in ids] == stream
 
 
 @pytest.mark.parametrize("capacity", [16, 100])
@@ -144,11 +199,34 @@ def test_packing(spark, texts, libraries, capacity):
 
 
 def test_plans_are_near_the_bound():
+    """Never more sequences than best fit alone, and never fewer than the dual's bound, which is near."""
     r = random.Random(1)
-    for capacity, sizes in ((4096, [r.randint(1, 4096) for _ in range(3000)]), (4096, [min(4096, int(r.lognormvariate(6.5, 1.2)) + 1) for _ in range(20000)]), (100, [34] * 300 + [33] * 600 + [50] * 10), (4096, [1400] * 9 + [1300] * 9 + [1396] * 9)):
-        groups = packing.plan(dict(Counter(sizes)), capacity)
-        assert Counter(x for times, filled in groups for x in filled * times) == Counter(sizes)
-        assert all(sum(filled) <= capacity for _, filled in groups)
-        bound = max(math.ceil(sum(sizes) / capacity), sum(x > capacity // 2 for x in sizes))
-        assert sum(times for times, _ in groups) <= bound * 1.03 + 1
-    assert packing.plan({}, 10) == []
+    cases = {
+        "uniform": (4096, [r.randint(1, 4096) for _ in range(3000)], 1.02),
+        "log-normal": (4096, [min(4096, int(r.lognormvariate(6.5, 1.2)) + 1) for _ in range(20000)], 1.001),
+        "clustered": (4096, [int(r.choice([300, 900, 1700, 2600]) + r.gauss(0, 60)) for _ in range(5000)], 1.12),
+        "narrow": (4096, [r.randint(1250, 1500) for _ in range(5000)], 1.12),
+        "thirds": (100, [34] * 300 + [33] * 600 + [50] * 10, 1.0),
+        "three": (4096, [1400] * 9 + [1300] * 9 + [1396] * 9, 1.0),
+    }
+    for name, (capacity, sizes, most) in cases.items():
+        histogram = dict(Counter(sizes))
+        groups, bound = packing.plan(histogram, capacity)
+        assert Counter(x for times, filled in groups for x in filled * times) == Counter(sizes), name
+        assert all(sum(filled) <= capacity for _, filled in groups), name
+        assert packing.sequences(groups) <= packing.sequences(packing.best_fit([], dict(histogram), capacity)), name
+        assert math.ceil(sum(sizes) / capacity) <= bound <= packing.sequences(groups) <= bound * most, name
+    assert packing.plan({}, 10) == ([], 0)
+
+
+def test_knapsack_is_exact():
+    r = random.Random(4)
+    for _ in range(50):
+        sizes = np.array(sorted(r.sample(range(1, 40), r.randint(1, 12))))
+        values = np.array([r.random() for _ in sizes])
+        best = [0.0] * 61
+        for c in range(1, 61):
+            best[c] = max([best[c - 1], *(best[c - s] + v for s, v in zip(sizes.tolist(), values.tolist()) if s <= c)])
+        found = packing.knapsack(sizes, values, 60)
+        assert sum(sizes[k] * a for k, a in found.items()) <= 60
+        assert sum(values[k] * a for k, a in found.items()) == pytest.approx(best[60])
