@@ -2,21 +2,23 @@
 
 A data set is a folder of shards.  Shard k has `<name>.ids` (unsigned little-endian integers, 2 bytes each if all ids
 fit, else 4), `<name>.offsets` (int64, one more than documents, counted from the shard's start) and `<name>.docs`
-(int64 document ids).  `manifest.json` lists the shards in order, each with its base: how many tokens and documents
-stand before it, the prefix sums over shards.  Position p of the whole stream is therefore found by two searches, and
-shards on a local or mounted disk are memory-mapped.
+(int64 document ids; the first `nulls` documents have none).  `manifest.json` lists the shards in order, each with its
+base: how many tokens and documents stand before it, the prefix sums over shards.  Position p of the whole stream is
+therefore found by two searches, and shards on a local or mounted disk are memory-mapped; others are read by ranges.
 
-Each task writes files under names of its own and reports them in its result row, so that of repeated or speculative
-attempts only the one whose row Spark keeps is in the manifest.
+Texts are encoded where they lie, and what is written, shuffled and sorted are their ids, as bytes in the files' own
+format.  The number of shards follows the bytes.  Each task writes files under names of its own and reports them in
+its result row, so that of repeated or speculative attempts only the one whose row Spark keeps is in the manifest.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import uuid
 import zlib
+from collections.abc import Iterator
 from urllib.parse import urlsplit
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import coder
-from .store import new_path, written
+from .store import cleaned, dropped, new_path, written
 
-MISSING = -(1 << 63)
+#: Bytes of ids that a shard has about, and shards at most (beyond, they grow); documents and ids read at once.
+SHARD_BYTES, SHARDS, READ_DOCS, READ_IDS = 16 << 20, 10_000, 20_000, 4 << 20
 
 
 def file_system(uri: str):
@@ -39,47 +42,68 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write(df: DataFrame, vocabulary, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+def encoded(df: DataFrame, vocabulary, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, tie, ids): the ids of every text as bytes in the files' format; `tie` is the text's hash."""
+    kind = id_type(vocabulary)
+
+    def run(batches):
+        for batch in batches:
+            for row, ids, counts in coder(vocabulary).encode_column(batch.column("text")):
+                if end_id is not None:
+                    ids = np.insert(ids, np.cumsum(counts), end_id)
+                    counts = counts + 1
+                ends = np.concatenate(([0], np.cumsum(counts * kind.itemsize))).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(counts)), batch.column("tie").slice(row, len(counts)), raw], ["id", "tie", "ids"])
+
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id bigint, tie bigint, ids binary")
+
+
+def id_type(vocabulary) -> np.dtype:
+    return np.dtype("<u4" if vocabulary.value.size > 1 << 16 else "<u2")
+
+
+def write(df: DataFrame, vocabulary, folder: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Writes the ids of all texts in ascending id order and returns the manifest's shards.
 
-    A null text is empty (it has the end id alone, if there is one); a null id comes first and is stored as the least
-    int64.  Rows of one id are ordered by their text's hash, then their text."""
-    spark, wide = df.sparkSession, vocabulary.value.size > 1 << 16
-    kind = np.dtype("<u4" if wide else "<u2")
+    A null text is empty (it has the end id alone, if there is one); rows without an id come first.  Rows of one id
+    are ordered by their text's hash, then their ids.  An empty table gives a manifest without shards."""
+    kind = id_type(vocabulary)
 
     def run(batches):
-        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid4().hex[:12]}"
         files, path = file_system(folder)
         files.create_dir(path, recursive=True)
-        outs, n_docs, n_tokens = {}, 0, 0
+        outs, n_docs, n_tokens, nulls = {}, 0, 0, 0
         for batch in batches:
-            row = 0
-            docs = batch.column("id").fill_null(MISSING).to_numpy(zero_copy_only=False).astype("<i8")
-            for _, ids, counts in coder(vocabulary).encode_column(batch.column("text")):
-                if end_id is not None:
-                    ids = np.insert(ids, np.cumsum(counts), end_id)
-                    counts = counts + 1
-                if not outs:
-                    outs = {x: files.open_output_stream(f"{path}/{name}.{x}") for x in ("ids", "offsets", "docs")}
-                    outs["offsets"].write(np.zeros(1, "<i8").tobytes())
-                outs["ids"].write(ids.astype(kind).tobytes())
-                outs["offsets"].write((n_tokens + np.cumsum(counts)).astype("<i8").tobytes())
-                outs["docs"].write(docs[row : row + len(counts)].tobytes())
-                row, n_docs, n_tokens = row + len(counts), n_docs + len(counts), n_tokens + len(ids)
+            if not batch.num_rows:
+                continue
+            if not outs:
+                outs = {x: files.open_output_stream(f"{path}/{name}.{x}") for x in ("ids", "offsets", "docs")}
+                outs["offsets"].write(np.zeros(1, "<i8").tobytes())
+            docs, column = batch.column("id"), batch.column("ids")
+            wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+            ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            if ends[-1] > ends[0]:
+                outs["ids"].write(memoryview(column.buffers()[2])[ends[0] : ends[-1]])
+            outs["offsets"].write((n_tokens + (ends[1:] - ends[0]) // kind.itemsize).astype("<i8").tobytes())
+            outs["docs"].write(docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            n_docs, n_tokens, nulls = n_docs + len(docs), n_tokens + int(ends[-1] - ends[0]) // kind.itemsize, nulls + docs.null_count
         for out in outs.values():
             out.close()
         if n_docs:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "docs": pa.array([n_docs], pa.int64()), "tokens": pa.array([n_tokens], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "docs": pa.array([n_docs], pa.int64()), "tokens": pa.array([n_tokens], pa.int64()), "nulls": pa.array([nulls], pa.int64())})
 
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    tie = F.xxhash64("text")
-    dealt = rows.repartitionByRange(shards, "id", tie).sortWithinPartitions("id", tie, "text")
-    report = written(dealt.mapInArrow(run, "part int, name string, docs bigint, tokens bigint"), "shards")
+    rows = written(encoded(df, vocabulary, end_id, id_col, text_col), "encoded")
+    size = rows.agg(F.sum(F.length("ids").cast("bigint"))).first()[0] or 0
+    dealt = rows.repartitionByRange(min(SHARDS, max(1, -(-size // shard_bytes))), "id", "tie").sortWithinPartitions("id", "tie", "ids").select("id", "ids")
+    report = written(dealt.mapInArrow(run, "part int, name string, docs bigint, tokens bigint, nulls bigint"), "shards")
     manifest, docs, tokens = [], 0, 0
-    for r in report.orderBy("part").collect():  # a row for each shard
-        manifest.append({"name": r["name"], "docs": r["docs"], "tokens": r["tokens"], "first_doc": docs, "base": tokens})
+    for r in report.orderBy("part").collect():  # a row for each shard, SHARDS at most
+        manifest.append({"name": r["name"], "docs": r["docs"], "tokens": r["tokens"], "nulls": r["nulls"], "first_doc": docs, "base": tokens})
         docs, tokens = docs + r["docs"], tokens + r["tokens"]
+    dropped(rows, report)
     files, path = file_system(folder)
     files.create_dir(path, recursive=True)
     with files.open_output_stream(f"{path}/manifest.json") as out:
@@ -93,14 +117,17 @@ def read_manifest(folder: str) -> dict:
         return json.loads(f.read())
 
 
-def column(folder: str, name: str, kind: str) -> np.ndarray:
-    """One file of a shard, memory-mapped where it can be."""
+def column(folder: str, name: str, kind: str, first: int, count: int) -> np.ndarray:
+    """So many values of one file of a shard; memory-mapped where it can be, else that range alone is read."""
     files, path = file_system(folder)
-    full = f"{path}/{name}"
+    full, size = f"{path}/{name}", np.dtype(kind).itemsize
+    if not count:
+        return np.zeros(0, kind)
     if os.path.exists(full):
-        return np.memmap(full, dtype=kind, mode="r") if os.path.getsize(full) else np.zeros(0, kind)
-    with files.open_input_stream(full) as f:
-        return np.frombuffer(f.read(), kind)
+        return np.memmap(full, dtype=kind, mode="r", offset=first * size, shape=(count,))
+    with files.open_input_file(full) as f:
+        f.seek(first * size)
+        return np.frombuffer(f.read(count * size), kind)
 
 
 def window(folder: str, start: int, length: int) -> np.ndarray:
@@ -110,33 +137,49 @@ def window(folder: str, start: int, length: int) -> np.ndarray:
     for s in manifest["shards"]:
         a, b = max(start, s["base"]), min(start + length, s["base"] + s["tokens"])
         if a < b:
-            found.append(np.array(column(folder, s["name"] + ".ids", manifest["ids"])[a - s["base"] : b - s["base"]]))
+            found.append(np.array(column(folder, s["name"] + ".ids", manifest["ids"], a - s["base"], b - a)))
     return np.concatenate(found) if found else np.zeros(0, manifest["ids"])
 
 
+def documents(folder: str, shard: dict, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document ids, offsets in the shard, ids) of a shard, some documents at a time."""
+    at = 0
+    while at < shard["docs"]:
+        offsets = np.array(column(folder, f"{shard['name']}.offsets", "<i8", at, min(READ_DOCS, shard["docs"] - at) + 1))
+        n = max(1, int(np.searchsorted(offsets, offsets[0] + READ_IDS, side="right")) - 1)
+        offsets = offsets[: n + 1]
+        n = len(offsets) - 1
+        docs = np.array(column(folder, f"{shard['name']}.docs", "<i8", at, n))
+        yield docs, offsets, column(folder, f"{shard['name']}.ids", kind, int(offsets[0]), int(offsets[-1] - offsets[0]))
+        at += n
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files, one task for each shard."""
     manifest = read_manifest(folder)
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     if not manifest["shards"]:
         return spark.createDataFrame([], schema)
-    shards = spark.createDataFrame([(s["name"], s["base"]) for s in manifest["shards"]], "name string, base bigint").repartition(len(manifest["shards"]))
+    shards = spark.createDataFrame([(s["name"], s["base"], s["docs"], s["nulls"]) for s in manifest["shards"]], "name string, base bigint, docs bigint, nulls bigint").repartition(len(manifest["shards"]))
     kind = manifest["ids"]
 
     def run(batches):
         for batch in batches:
-            for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                ids, offsets, docs = (column(folder, f"{name}.{x}", k) for x, k in (("ids", kind), ("offsets", "<i8"), ("docs", "<i8")))
-                for a in range(0, len(docs), 20_000):
-                    o, d = np.array(offsets[a : a + 20_001]), np.array(docs[a : a + 20_000])
-                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64(), mask=d == MISSING), pa.array(base + o[:-1], pa.int64()), pa.array(np.diff(o), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for shard in batch.to_pylist():
+                at = 0
+                for docs, offsets, ids in documents(folder, shard, kind):
+                    o = (offsets - offsets[0]).tolist()
+                    crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(o[:-1], o[1:], strict=True)]
+                    none = np.arange(at, at + len(docs)) < shard["nulls"]
+                    at += len(docs)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=none), pa.array(shard["base"] + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.mapInArrow(run, schema)
 
 
+@cleaned
 def round_trip(df: DataFrame, vocabulary, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The files written to a folder of their own in the shared folder, and read back."""
+    """The files written to a folder of their own in the shared folder, and read back; the folder goes afterwards."""
     folder = new_path(df.sparkSession, "tokens")
     write(df, vocabulary, folder, end_id, id_col, text_col)
     return read(df.sparkSession, folder)
