@@ -4,13 +4,16 @@ Which lengths go together is decided on the histogram of lengths alone, whose si
 many documents there are:
 
 1. Configuration LP: as few sequences as possible, so many of each *configuration* (a multiset of lengths that fits)
-   that every length's demand is covered.  Many lengths are grouped into classes of `grain` tokens, rounded up.
+   that every length's demand is covered.  Every length is a class of its own.
 2. Multiplicative weights: a length's weight falls exponentially with the share of its demand that is covered; each
    round adds the configuration of the largest total weight, found by knapsack dynamic programming.  The average of
-   the rounds, scaled until all demands are covered, is a fractional solution.
-3. Rounding: configurations are used a whole number of times with the true lengths of their classes, and what is left
-   goes, longest first, to the open sequence with the least room that suffices, or a new one.  This too works on
-   groups of equal sequences, not on single documents.
+   the rounds, scaled so that half the covered lengths' demands are met, is nearly a fractional solution; the average
+   of the weights, scaled so that no configuration is worth more than 1, is a solution of the dual, and so its worth a
+   bound that no packing beats; sizes themselves and rounded sizes are tried as prices too.
+3. Rounding: configurations are used a whole number of times, as far as lengths are left, and what is left goes,
+   longest first, to the open sequence with the least room that suffices, or a new one.  This too works on groups of
+   equal sequences, not on single documents.
+4. Where the rounded plan needs more sequences than best fit on the whole histogram does, that one is used.
 
 Documents are then dealt to the places by their rank among those of equal length.  Ranks are counted in hash buckets,
 so that a length that a third of all documents share is spread over all tasks.
@@ -26,7 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_codec import coder
-from .store import written
+from .store import cleaned, written
+
+
+#: Rounds of the weights, the share of a demand that one covers at most, and the least worth of a configuration beside
+#: the best.
+ROUNDS, SHARE, GOOD = 500, 0.25, 0.97
 
 
 def pieces(df: DataFrame, vocabulary, capacity: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,37 +54,39 @@ def pieces(df: DataFrame, vocabulary, capacity: int, end_id: int | None, id_col:
                         y = min(b, x + capacity)
                         for column, value in zip(rows, (first + i, k, x - a, y - x, zlib.crc32(raw[4 * x : 4 * y])), strict=True):
                             column.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows[0], pa.int32())), *(pa.array(x, k) for x, k in zip(rows[1:], (kinds[0], kinds[1], kinds[2], kinds[3]), strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length int, ids_crc32 bigint")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of sizes (index: copies) of the largest total value that fits, by dynamic programming."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    for c in range(1, capacity + 1):
-        n = int(np.searchsorted(sizes, c, side="right"))
-        best[c] = best[c - 1]
-        if n:
-            total = best[c - sizes[:n]] + values[:n]
-            k = int(total.argmax())
-            if total[k] > best[c]:
-                best[c], took[c] = total[k], k
+    """The multiset of sizes (index: copies) of the largest total value that fits, by dynamic programming.
+
+    Sizes ascend.  Only sizes worth more than every smaller one can be needed; each is offered 1, 2, 4, ... times."""
+    before = np.concatenate(([0.0], np.maximum.accumulate(values)[:-1]))
+    best, offers = np.zeros(capacity + 1), []
+    for k in np.flatnonzero(values > before).tolist():
+        copies = 1
+        while copies * sizes[k] <= capacity:
+            w = int(copies * sizes[k])
+            total = best[:-w] + copies * values[k]
+            better = total > best[w:]
+            best[w:][better] = total[better]
+            offers.append((k, copies, w, better))
+            copies *= 2
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-            continue
-        out[int(took[c])] = out.get(int(took[c]), 0) + 1
-        c -= int(sizes[took[c]])
+    c = int(best.argmax())
+    for k, copies, w, better in reversed(offers):
+        if c >= w and better[c - w]:
+            out[k] = out.get(k, 0) + copies
+            c -= w
     return out
 
 
-def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[float, dict[int, int]]]:
-    """(uses, configuration) of the LP by multiplicative weights; `sizes` ascend.
+def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, rate: float) -> tuple[list[tuple[float, dict[int, int]]], float]:
+    """((uses, configuration) of the LP by multiplicative weights, the dual's bound); `sizes` ascend.
 
     Configurations that the average weights, as prices of the dual, show to be poor are left out, and fuller ones come
     first."""
@@ -91,7 +101,11 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
             covered[k] += step * a / demand[k]
         key = tuple(sorted(shape.items()))
         uses[key] = uses.get(key, 0.0) + step
-    prices /= max(1, rounds)
+    bound = 0.0
+    steps = [np.where((k + 1) * sizes % capacity == 0, sizes / capacity, (k + 1) * sizes // capacity / k) for k in range(1, 11)]
+    for price in (prices, sizes / capacity, *steps):
+        dear = knapsack(sizes, price, capacity)
+        bound = max(bound, float(price @ demand) / max(sum(price[k] * a for k, a in dear.items()), 1e-300))
     worth = {key: sum(prices[k] * a for k, a in key) for key in uses}
     best = max(worth.values(), default=0.0)
     good = [key for key in uses if worth[key] >= GOOD * best]
@@ -101,42 +115,35 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int
             covers[k] += uses[key] * a / demand[k]
     scale = float(np.median(covers[covers > 0])) if good else 1.0
     good.sort(key=lambda key: (-sum(sizes[k] * a for k, a in key), -worth[key], key))
-    return [(uses[key] / scale, dict(key)) for key in good]
+    return [(uses[key] / scale, dict(key)) for key in good], bound
 
 
-def plan(histogram: dict[int, int], capacity: int, grain: int | None = None, rounds: int = 1200, rate: float = 2.0) -> list[tuple[int, list[int]]]:
-    """(how many sequences, the lengths in each) that hold every length of the histogram as often as it occurs.
-
-    Few lengths are classes of their own; else a class is 1/512 of the capacity wide."""
+def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = 2.0) -> tuple[list[tuple[int, list[int]]], int]:
+    """((how many sequences, the lengths in each), a bound): groups that hold every length of the histogram as often
+    as it occurs, never more sequences than best fit needs, and the least number that any packing needs."""
     left = {x: n for x, n in histogram.items() if n > 0}
-    grain = grain or (1 if len(left) <= 64 else max(1, capacity // 512))
     assert all(0 < x <= capacity for x in left)
-    classes: dict[int, list[int]] = {}
-    for x in sorted(left):
-        classes.setdefault(-(-x // grain), []).append(x)
-    sizes = np.array(sorted(classes), dtype=np.int64)
+    if not left:
+        return [], 0
+    plain = best_fit([], dict(left), capacity)
+    lengths = sorted(left)
+    sizes, demand = np.array(lengths, dtype=np.int64), np.array([left[x] for x in lengths], dtype=float)
+    found, bound = fractional(sizes, demand, capacity, rounds, rate)
     groups: list[tuple[int, list[int]]] = []
-    if len(sizes):
-        demand = np.array([sum(left[x] for x in classes[s]) for s in sizes.tolist()], dtype=float)
-        for uses, shape in fractional(sizes, demand, capacity // grain, min(rounds, max(200, 4 * len(sizes))), rate):
-            whole = int(uses + 0.5)
-            while whole > 0:
-                filled, times, taken = [], whole, {}
-                for k, copies in shape.items():
-                    members = classes[int(sizes[k])]
-                    for _ in range(copies):
-                        x = max((m for m in members if left[m] - taken.get(m, 0) > 0), key=lambda m: left[m] - taken.get(m, 0), default=0)
-                        if x:
-                            taken[x] = taken.get(x, 0) + 1
-                            filled.append(x)
-                if len(filled) < sum(shape.values()):
-                    break
-                times = min([times, *(left[x] // n for x, n in taken.items())])
-                for x, n in taken.items():
-                    left[x] -= n * times
-                groups.append((times, filled))
-                whole -= times
-    return best_fit(groups, left, capacity)
+    for uses, shape in found:
+        times = min([int(uses + 0.5), *(left[lengths[k]] // copies for k, copies in shape.items())])
+        if times > 0:
+            for k, copies in shape.items():
+                left[lengths[k]] -= copies * times
+            groups.append((times, [lengths[k] for k, copies in shape.items() for _ in range(copies)]))
+    groups = best_fit(groups, left, capacity)
+    if sequences(plain) < sequences(groups):
+        groups = plain
+    return groups, max(1, int(np.ceil(bound - 1e-6)))
+
+
+def sequences(groups: list[tuple[int, list[int]]]) -> int:
+    return sum(times for times, _ in groups)
 
 
 def best_fit(groups: list[tuple[int, list[int]]], left: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -171,10 +178,6 @@ def best_fit(groups: list[tuple[int, list[int]]], left: dict[int, int], capacity
     return [g for room in sorted(by_room) for g in by_room[room]]
 
 
-#: The share of a demand that one round covers at most, and the least worth of a configuration beside the best.
-SHARE, GOOD = 0.25, 0.97
-
-
 class Places:
     """Where the r-th document of a length goes: arrays over (length, rank) runs, found by one binary search.
 
@@ -210,7 +213,7 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to rows with (doc_id, piece, length); `cut` is read three times."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)))
+    places = spark.sparkContext.broadcast(Places(plan(histogram, capacity)[0]))
     buckets = max(1024, sum(histogram.values()) // BUCKET_ROWS)
     rows = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
     sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
@@ -230,6 +233,7 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     return ranked.select(*columns, "rank").mapInArrow(run, f"{kinds}, sequence_id bigint, offset bigint")
 
 
+@cleaned
 def packed(df: DataFrame, vocabulary, capacity: int, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every document's pieces.  Equal rows are
     packed as often as they occur; an empty table gives no row."""
