@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +130,23 @@ def sql_geodesic(source: str, out: str, keep: str, rounds: int = 8) -> str:
     return ", ".join(parts)
 
 
+def sql_polynomial_weights(name: str, widths, order: int = 3) -> str:
+    """A view (w, i, j, c): at place i of a window of w samples, the least-squares polynomial has the value of the sum
+    of c times sample j.  By orthogonal polynomials in exact fractions."""
+    rows = []
+    for w in widths:
+        basis: list[list[Fraction]] = []
+        for k in range(order + 1):
+            p = [Fraction(2 * x - w + 1) ** k for x in range(w)]
+            for q in basis:
+                share = sum(a * b for a, b in zip(p, q)) / sum(b * b for b in q)
+                p = [a - share * b for a, b in zip(p, q)]
+            basis.append(p)
+        norms = [sum(b * b for b in q) for q in basis]
+        rows += [f"({w}, {i}, {j}, {float(sum(q[i] * q[j] / n for q, n in zip(basis, norms)))!r}e0)".replace("e0)", "::DOUBLE)") for i in range(w) for j in range(w)]
+    return f"{name}(w, i, j, c) AS (VALUES {', '.join(rows)})"
+
+
 def sql_segments(places: str, out: str) -> str:
     """Views with (id, pos, node_id, step, cum, turn, n, total) of a view with (id, pos, node_id)."""
     return (

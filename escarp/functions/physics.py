@@ -67,6 +67,10 @@ def air_density(temperature_c, altitude_m) -> Column:
     return pressure(altitude_m) / (R_AIR * (_lit(temperature_c) + 273.15))
 
 
+def watts_per_kg(power_w, weight_kg) -> Column:
+    return F.try_divide(_lit(power_w), _lit(weight_kg))
+
+
 def power_shares(p: Column, power_w) -> dict[str, Column]:
     """What a prediction's power goes into: drivetrain loss and percentages, none below 0."""
     power = _lit(power_w)

@@ -56,19 +56,24 @@ def extrema(x: np.ndarray, prominence: float) -> list[tuple[int, str]]:
     return [(0, kind(0, found[0][0])), *found, (end, kind(end, found[-1][0]))]
 
 
-def climbs(cum: np.ndarray, elev: np.ndarray, min_length: float, min_grade: float, min_gain: float, prominence: float) -> list[tuple[int, int]]:
-    """(trough, peak) places of neighbouring extrema that are long, steep and high enough."""
+def candidates(cum: np.ndarray, elev: np.ndarray, min_length: float, min_grade: float, min_gain: float, prominence: float) -> list[tuple[int, int, float, float, list[str]]]:
+    """(trough, peak, length, gain, which limits it falls short of) of neighbouring extrema that rise."""
     if len(elev) < 3:
         return []
     found, out = extrema(elev, prominence), []
     for (a, kind_a), (b, kind_b) in zip(found, found[1:]):
-        if (kind_a, kind_b) == ("trough", "peak"):
-            length, gain = float(cum[b] - cum[a]), float(elev[b] - elev[a])
-            if length > 0 and gain > 0 and length >= min_length and gain / length >= min_grade and gain >= min_gain:
-                out.append((a, b))
+        length, gain = float(cum[b] - cum[a]), float(elev[b] - elev[a])
+        if (kind_a, kind_b) == ("trough", "peak") and length > 0 and gain > 0:
+            short = [name for name, low in (("length", length < min_length), ("grade", gain / length < min_grade), ("gain", gain < min_gain)) if low]
+            out.append((a, b, length, gain, short))
     return out
 
 
+def climbs(cum: np.ndarray, elev: np.ndarray, min_length: float, min_grade: float, min_gain: float, prominence: float) -> list[tuple[int, int]]:
+    """(trough, peak) places of neighbouring extrema that are long, steep and high enough."""
+    return [(a, b) for a, b, _, _, short in candidates(cum, elev, min_length, min_grade, min_gain, prominence) if not short]
+
+
 def along(lat: np.ndarray, lng: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(lat, lng, metres) of a path whose segments are cut in equal parts of about `step`, nodes kept."""
     if len(lat) < 2:
@@ -136,26 +141,54 @@ def profile(cum: np.ndarray, elev: np.ndarray) -> np.ndarray:
     return savgol(x, max(window, PROFILE_ORDER + 2), PROFILE_ORDER)
 
 
-def chain_climbs(lat: np.ndarray, lng: np.ndarray, elev: np.ndarray, nodes: np.ndarray, ways: np.ndarray, bidirectional: bool, p) -> list[dict]:
-    """The climbs of one chain, forward and, if it may be ridden both ways, backward."""
+def passes(lat: np.ndarray, lng: np.ndarray, elev: np.ndarray, nodes: np.ndarray, ways: np.ndarray, bidirectional: bool, p):
+    """((turn, lat, lng, metres, smoothed height) of the samples of a chain ridden forward and, if it may be, backward;
+    the nodes' metres, nodes and ways), or nothing if the chain is too short.  A cycle begins at its lowest node."""
     if len(nodes) >= 3 and lat[0] == lat[-1] and lng[0] == lng[-1]:
         k = int(np.argmin(elev[:-1]))
         if k:
             lat, lng, elev, nodes, ways = (np.concatenate((x[k:-1], x[:k], x[k : k + 1])) for x in (lat, lng, elev, nodes, ways))
     path = along(lat, lng, p.sample_step)
     if path is None or path[2][-1] < p.min_length:
-        return []
+        return None
     y, x, cum = path
     node_cum = cumulative_np(lat, lng)
     heights = np.interp(cum, node_cum, elev)
     width = max(1, round(p.smooth_window / p.sample_step))
     if 1 < width < len(heights):
         heights = moving_average(heights, width)
-    total, out = node_cum[-1], []
-    for turn, direction in enumerate([slice(None)] + [slice(None, None, -1)] * bool(bidirectional)):
-        way = cum if not turn else cum[-1] - cum[::-1]
-        for a, b in climbs(way, heights[direction], p.min_length, p.min_grade, p.min_gain, p.prominence):
+    found = [(0, y, x, cum, heights)]
+    if bidirectional:
+        found.append((1, y[::-1], x[::-1], cum[-1] - cum[::-1], heights[::-1]))
+    return found, node_cum, nodes, ways
+
+
+def limits(p) -> tuple[float, float, float, float]:
+    return p.min_length, p.min_grade, p.min_gain, p.prominence
+
+
+def chain_climbs(lat: np.ndarray, lng: np.ndarray, elev: np.ndarray, nodes: np.ndarray, ways: np.ndarray, bidirectional: bool, p) -> list[dict]:
+    """The climbs of one chain, forward and, if it may be ridden both ways, backward."""
+    ridden = passes(lat, lng, elev, nodes, ways, bidirectional, p)
+    if ridden is None:
+        return []
+    (found, node_cum, nodes, ways), out = ridden, []
+    total = node_cum[-1]
+    for turn, y, x, way, heights in found:
+        for a, b in climbs(way, heights, *limits(p)):
             low, high = (way[a], way[b]) if not turn else (total - way[b], total - way[a])
-            inside = (node_cum >= low) & (node_cum <= high)
-            out.append({"turn": turn, "at": a, "nodes": nodes[inside][direction].tolist(), "ways": list(dict.fromkeys(ways[inside][direction].tolist())), "start_lat": float(y[direction][a]), "start_lng": float(x[direction][a]), "distance": float(way[b] - way[a])})
+            inside, direction = (node_cum >= low) & (node_cum <= high), slice(None, None, -1 if turn else 1)
+            out.append({"turn": turn, "at": a, "nodes": nodes[inside][direction].tolist(), "ways": list(dict.fromkeys(ways[inside][direction].tolist())), "start_lat": float(y[a]), "start_lng": float(x[a]), "distance": float(way[b] - way[a])})
+    return out
+
+
+def chain_explained(lat: np.ndarray, lng: np.ndarray, elev: np.ndarray, nodes: np.ndarray, ways: np.ndarray, bidirectional: bool, p) -> list[dict]:
+    """Why a chain has the climbs it has: its extrema, and each rise with the limits that it falls short of."""
+    ridden, out = passes(lat, lng, elev, nodes, ways, bidirectional, p), []
+    if ridden is None:
+        return [{"turn": 0, "what": "chain", "a": None, "b": None, "length": None, "gain": None, "grade": None, "verdict": "skipped: shorter than the least length"}]
+    for turn, _, _, way, heights in ridden[0]:
+        out += [{"turn": turn, "what": kind, "a": i, "b": None, "length": float(way[i]), "gain": float(heights[i]), "grade": None, "verdict": None} for i, kind in extrema(heights, p.prominence)]
+        for a, b, length, gain, short in candidates(way, heights, *limits(p)):
+            out.append({"turn": turn, "what": "rise", "a": a, "b": b, "length": length, "gain": gain, "grade": gain / length, "verdict": "skipped: too little " + ", ".join(short) if short else "accepted"})
     return out

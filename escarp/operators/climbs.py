@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import distance, inverse, turn_angle
-from ..functions.series import chain_climbs
+from ..functions.series import chain_climbs, chain_explained
 from ..functions.text import nodes_hash
 from ..params import PipelineParams
-from ..storage import dropped, written
+from ..storage import cleaned, written
 
 
 def climb_id(*parts: Column) -> Column:
@@ -18,32 +18,50 @@ def climb_id(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def detected(paths: DataFrame, nodes: DataFrame, p: PipelineParams = PipelineParams()) -> DataFrame:
-    """proto_climbs (schema.PROTO_CLIMBS) of chains' paths; chains with a missing node or elevation have none.
+PROFILE = ["node_id", "way_id", "lat", "lng", "elevation"]
 
-    One climb of each hash is kept: that of the last chain, pass and place."""
+
+def profiles(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each chain with all its nodes and elevations known: a batch of them is one call."""
     rows = paths.join(nodes.select(F.col("id").alias("node_id"), "lat", "lng", F.col("elevation").cast("double").alias("elevation")), "node_id", "left")
-    # A row for each chain: a batch of them is one call.
-    parts = ["node_id", "way_id", "lat", "lng", "elevation"]
     known = F.bool_and(F.col("lat").isNotNull() & F.col("elevation").isNotNull()).alias("known")
-    chains = rows.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("pos", *parts))).alias("x"), F.bool_and("bidirectional").alias("bidirectional"), known).where("known")
+    chains = rows.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("pos", *PROFILE))).alias("x"), F.bool_and("bidirectional").alias("bidirectional"), known).where("known")
+    return chains.select("chain_id", "bidirectional", *[F.col(f"x.{c}").alias(c) for c in PROFILE])
+
+
+def per_chain(chains: DataFrame, f, p: PipelineParams, kinds: str) -> DataFrame:
+    """f's rows (dicts) of every chain."""
+    columns = [c.split()[0] for c in kinds.split(", ")]
 
     def run(batches):
-        columns = ["chain_id", "turn", "at", "nodes", "ways", "start_lat", "start_lng", "distance"]
         for batch in batches:
             found = []
-            for chain, both, node, way, lat, lng, elev in zip(*(batch[c] for c in ("chain_id", "bidirectional", *parts)), strict=True):
-                found += [{"chain_id": chain, **x} for x in chain_climbs(lat, lng, elev, node, way, bool(both), p)]
-            yield pd.DataFrame(found, columns=columns)
+            for chain, both, node, way, lat, lng, elev in zip(*(batch[c] for c in ("chain_id", "bidirectional", *PROFILE)), strict=True):
+                found += [{"chain_id": chain, **x} for x in f(lat, lng, elev, node, way, bool(both), p)]
+            yield pd.DataFrame(found, columns=columns, dtype=object)
+
+    return chains.mapInPandas(run, kinds)
 
+
+def detected(paths: DataFrame, nodes: DataFrame, p: PipelineParams = PipelineParams()) -> DataFrame:
+    """proto_climbs (schema.PROTO_CLIMBS) of chains' paths; chains with a missing node or elevation have none.
+
+    One climb of each hash is kept: that of the last chain, pass and place."""
     kinds = "chain_id bigint, turn int, at int, nodes array<bigint>, ways array<bigint>, start_lat double, start_lng double, distance double"
-    found = chains.select("chain_id", "bidirectional", *[F.col(f"x.{c}").alias(c) for c in parts]).mapInPandas(run, kinds)
+    found = per_chain(profiles(paths, nodes), chain_climbs, p, kinds)
     found = found.withColumn("nodes_hash", nodes_hash(F.col("nodes")))
     last = Window.partitionBy("nodes_hash").orderBy(F.desc("chain_id"), F.desc("turn"), F.desc("at"))
     once = found.withColumn("_n", F.row_number().over(last)).where("_n = 1")
     return once.select(climb_id(F.col("nodes_hash")).alias("id"), "nodes", F.col("ways").alias("osm_way_ids"), "start_lat", "start_lng", "distance", "nodes_hash", F.lit(None).cast("array<string>").alias("from_climbs"))
 
 
+def explained(paths: DataFrame, nodes: DataFrame, p: PipelineParams = PipelineParams()) -> DataFrame:
+    """(chain_id, turn, what, a, b, length, gain, grade, verdict): extrema (their metres and height as length and gain)
+    and rises, accepted or with the limits that they fall short of."""
+    kinds = "chain_id bigint, turn int, what string, a int, b int, length double, gain double, grade double, verdict string"
+    return per_chain(profiles(paths, nodes), chain_explained, p, kinds)
+
+
 def places(protos: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each place of each climb, with its node's columns (null where the node is missing)."""
     long = protos.select("id", F.posexplode("nodes").alias("pos", "node_id"))
@@ -77,6 +95,7 @@ def strip_slices(protos: DataFrame, nodes: DataFrame, max_strip: float = 50.0, s
     return found.where("known").select("id", F.when(enough, F.col("first")).otherwise(0).alias("first"), F.when(enough, F.col("last")).otherwise(F.col("n")).alias("last"), "n")
 
 
+@cleaned
 def stripped(protos: DataFrame, nodes: DataFrame, max_strip: float = 50.0, strip_degree: float = 45.0) -> DataFrame:
     """Climbs with their ends cut; osm_way_ids stay.  If climbs would share a hash, the one that has it already keeps
     it, else the one of the least id gets it, and the others stay uncut."""
@@ -111,6 +130,7 @@ def hops(protos: DataFrame, nodes: DataFrame, of: DataFrame | None = None) -> Da
     return met.where(far <= F.col("reach")).select("a", "i", "b", "j")
 
 
+@cleaned
 def combined(protos: DataFrame, nodes: DataFrame, max_combo: int = 4, seeds: Column | None = None) -> DataFrame:
     """New proto_climbs along every path of 2 to max_combo climbs that hop at junctions, each place after the last.
 
@@ -144,61 +164,91 @@ def similar_pairs(protos: DataFrame, threshold: float) -> DataFrame:
     max(distance, 500 m) of a's; climbs without nodes are like each other.
 
     Prefix filter: two sets that alike share one of the first nodes (rarest first) of either, so only these are
-    joined, and common nodes make no long lists."""
-    sets = protos.select("id", "start_lat", "start_lng", F.greatest(F.col("distance"), F.lit(500.0)).alias("reach"), F.array_distinct("nodes").alias("s"))
+    joined, and common nodes make no long lists.  Prefix rows carry a climb's size and start, and the place of the
+    node in the order bounds what two sets can have in common, so that most pairs fall in the join itself.  A pair's
+    similarity is computed once for both directions.  Climbs without nodes meet in bands of latitude."""
+    reach = F.greatest(F.col("distance"), F.lit(500.0)).alias("reach")
+    sets = protos.select("id", "start_lat", "start_lng", reach, F.array_distinct("nodes").alias("s"))
     long = sets.select("id", F.explode("s").alias("node"))
     often = long.groupBy("node").agg(F.count("*").alias("times"))
     ranked = long.join(often, "node").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("times", "node"))).alias("r"))
     keep = (F.size("r") - F.ceil(F.size("r") * threshold - 1e-9) + 1).cast("int")
-    first = ranked.select("id", F.explode(F.slice("r", 1, keep)).alias("x")).select("id", F.col("x.node").alias("node"))
-    pairs = first.withColumnRenamed("id", "a").join(first.withColumnRenamed("id", "b"), "node").where("a <> b").select("a", "b").distinct()
-    empty = sets.where(F.size("s") == 0).select("id")
-    pairs = pairs.union(empty.withColumnRenamed("id", "a").join(empty.withColumnRenamed("id", "b"), F.col("a") != F.col("b"))) if not empty.isEmpty() else pairs
-    side = lambda x: sets.select(*[F.col(c).alias(c + x) for c in sets.columns])
-    both = pairs.join(side("_a"), F.col("a") == F.col("id_a")).join(side("_b"), F.col("b") == F.col("id_b"))
+    first = ranked.join(sets.drop("s"), "id").select("id", F.size("r").alias("n"), "start_lat", "start_lng", "reach", F.posexplode(F.slice("r", 1, keep)).alias("pos", "x")).withColumn("node", F.col("x.node")).drop("x")
+    side = lambda df, x: df.select(*[F.col(c) if c == "node" else F.col(c).alias(c + x) for c in df.columns])
+    met = side(first, "_a").join(side(first, "_b"), "node").where("id_a < id_b")
+    rest = lambda x: F.col("n" + x) - F.col("pos" + x)
+    met = met.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    met = met.where(F.least(rest("_a"), rest("_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    place = ["id", "start_lat", "start_lng", "reach"]
+    near = close(met.select(*[c + x for x in ("_a", "_b") for c in place])).distinct()
+    both = near.join(sets.select(F.col("id").alias("id_a"), F.col("s").alias("s_a")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("s").alias("s_b")), "id_b")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    union = F.size("s_a") + F.size("s_b") - common
-    both = both.withColumn("similarity", F.when(union == 0, F.lit(1.0)).otherwise(F.try_divide(common, union))).where(F.col("similarity") >= threshold)
+    both = both.withColumn("similarity", F.try_divide(common, F.size("s_a") + F.size("s_b") - common)).where(F.col("similarity") >= threshold).drop("s_a", "s_b")
+    empty = sets.where(F.size("s") == 0).drop("s")
+    band = lambda lat: F.floor(lat * 200)
+    wide = side(empty, "_a").withColumn("node", F.explode(F.sequence(band(F.col("start_lat_a") - spread_of("_a")), band(F.col("start_lat_a") + spread_of("_a")))))
+    alike = wide.join(side(empty, "_b").withColumn("node", band(F.col("start_lat_b"))), "node").where("id_a <> id_b").drop("node")
+    lone = close(alike).withColumn("similarity", F.lit(1.0))
+    ways = F.array(F.struct(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("reach_a").alias("r")), F.struct(F.col("id_b").alias("a"), F.col("id_a").alias("b"), F.col("reach_b").alias("r")))
+    turned = both.select("far", "similarity", F.explode(ways).alias("w")).where(F.col("far") <= F.col("w.r")).select("w.a", "w.b", "similarity")
+    return turned.union(lone.where(F.col("far") <= F.col("reach_a")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity"))
+
+
+def spread_of(x: str) -> Column:
+    """Degrees of latitude that surely hold a climb's reach."""
+    return F.col("reach" + x) / 110_500 + 1e-9
+
+
+def close(pairs: DataFrame) -> DataFrame:
+    """Pairs (id_a, start_lat_a, ..., reach_b) of which one start is within the other's reach, with `far` in metres."""
+    box = F.abs(F.col("start_lat_a") - F.col("start_lat_b")) <= F.greatest(spread_of("_a"), spread_of("_b"))
     far = distance(F.col("start_lat_a"), F.col("start_lng_a"), F.col("start_lat_b"), F.col("start_lng_b"))
-    return both.where(far <= F.col("reach_a")).select("a", "b", "similarity")
+    return pairs.where(box).withColumn("far", far).where(F.col("far") <= F.greatest("reach_a", "reach_b"))
 
 
-def deduplicated(protos: DataFrame, max_similarity: float = 0.9) -> DataFrame:
+#: With at most so many pairs undecided, one task decides them in order.
+ONE_TASK = 100_000
+
+
+@cleaned
+def deduplicated(protos: DataFrame, max_similarity: float = 0.9, one_task: int = ONE_TASK) -> DataFrame:
     """Climbs that survive: from the one with most nodes on (empty ones first, ties by id), each still alive removes
-    all that are similar and near by its own length.  Groups of similar climbs are resolved one by one."""
+    all that are similar and near by its own length, earlier survivors too."""
     pairs = written(similar_pairs(protos, max_similarity), "pairs")
-    ends = pairs.select("a", "b")
-    labels = components(ends)
     rank = protos.select("id", F.when(F.size("nodes") == 0, 1 << 30).otherwise(F.size("nodes")).alias("n"))
-    rows = ends.join(labels.withColumnRenamed("id", "a"), "a").join(rank.withColumnRenamed("id", "a").withColumnRenamed("n", "n_a"), "a").join(rank.withColumnRenamed("id", "b").withColumnRenamed("n", "n_b"), "b")
+    side = lambda x: rank.select(F.col("id").alias(x), F.col("n").alias("n_" + x))
+    ahead = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("n_a > n_b or (n_a = n_b and a < b)")
+    dead = removed_in_time(written(ahead, "ahead"), one_task)
+    gone = pairs.join(dead.withColumnRenamed("id", "a"), "a", "left_anti").select(F.col("b").alias("id")).distinct()
+    return protos.join(gone, "id", "left_anti")
 
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
+
+def removed_in_time(ahead: DataFrame, one_task: int) -> DataFrame:
+    """(id): those that an earlier one removes before their turn, of pairs (a, b, n_a, n_b) where a comes before b and
+    would remove it.
+
+    In rounds: who has nobody undecided before them acts, and those they remove are decided too.  The last pairs are
+    decided by one task in order."""
+    dead = None
+    while ahead.count() > one_task:
+        acting = written(ahead.select("a").distinct().join(ahead.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "acting")
+        hit = written(ahead.join(acting, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "hit")
+        rest = ahead.join(acting, "a", "left_anti").join(hit.withColumnRenamed("id", "a"), "a", "left_anti").join(hit.withColumnRenamed("id", "b"), "b", "left_anti")
+        ahead = written(rest.select("a", "b", "n_a", "n_b"), "ahead")
+        dead = hit if dead is None else dead.union(hit)
+
+    def resolve(batches):
         victims: dict[str, list[str]] = {}
         size: dict[str, int] = {}
-        for a, b, x, y in zip(group["a"], group["b"], group["n_a"], group["n_b"]):
-            victims.setdefault(a, []).append(b)
-            size[a], size[b] = x, y
+        for x in batches:
+            for a, b, m, n in zip(x["a"], x["b"], x["n_a"], x["n_b"]):
+                victims.setdefault(a, []).append(b)
+                size[a], size[b] = m, n
         gone: set[str] = set()
         for a in sorted(size, key=lambda k: (-size[k], k)):
             if a not in gone:
                 gone.update(victims.get(a, []))
-        return pd.DataFrame({"id": sorted(gone)}, dtype=object)
-
-    gone = rows.groupBy("component").applyInPandas(resolve, "id string")
-    return protos.join(gone, "id", "left_anti")
-
+        yield pd.DataFrame({"id": sorted(gone)}, dtype=object)
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(id, component) of undirected pairs (a, b) of string ids, by least labels that jump."""
-    both = written(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
-    labels = written(both.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct(), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").select(F.col("a").alias("id"), "component")
-        least = labels.union(near).groupBy("id").agg(F.min("component").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("component").alias("further"))
-        new = written(least.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("component")), "labels")
-        done = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").isEmpty()
-        dropped(labels)
-        labels = new
-        if done:
-            return labels
+    last = written(ahead.coalesce(1).mapInPandas(resolve, "id string"), "last")
+    return last if dead is None else dead.union(last)

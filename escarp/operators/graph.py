@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import dropped, written
+from ..storage import cleaned
+from .components import components
 
 
 def node_degrees(ways: DataFrame) -> DataFrame:
@@ -40,27 +41,11 @@ def chain_edges(ways: DataFrame) -> DataFrame:
     return at.where("ends = 2 and a < b").select("a", "b").distinct()
 
 
+@cleaned
 def chain_labels(ways: DataFrame) -> DataFrame:
-    """(id, chain_id): the least way id of each way's chain.
-
-    Labels go to neighbours and then jump to their label's label, so that rounds grow with the logarithm of a chain's
-    length; each round is cut from its lineage by a written table."""
-    edges = written(chain_edges(ways), "edges")
-    both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "neighbours")
-    dropped(edges)
-    labels = written(both.select(F.col("a").alias("id"), F.col("a").alias("chain_id")).distinct(), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "chain_id"), "b").select(F.col("a").alias("id"), "chain_id")
-        least = labels.union(near).groupBy("id").agg(F.min("chain_id").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("chain_id").alias("further"))
-        new = written(least.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("chain_id")), "labels")
-        done = new.join(labels.withColumnRenamed("chain_id", "old"), "id").where("chain_id <> old").isEmpty()
-        dropped(labels)
-        labels = new
-        if done:
-            break
-    dropped(both)
-    return ways.select("id").join(labels, "id", "left").select("id", F.coalesce("chain_id", "id").alias("chain_id"))
+    """(id, chain_id): the least way id of each way's chain."""
+    labels = components(chain_edges(ways))
+    return ways.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("chain_id"))
 
 
 def chain_info(labels: DataFrame) -> DataFrame:
@@ -69,20 +54,24 @@ def chain_info(labels: DataFrame) -> DataFrame:
 
 
 def walk(ids: list[int], nodes: list[list[int]]) -> list[int]:
-    """The places of a chain's ways in riding order: from the least way with an end that no other way has, else (a
-    cycle) from the least way, along shared ends."""
+    """The places of a chain's ways in riding order: from the least way with an end that no other way has, away from
+    that end, else (a cycle) from the least way by its last node, along shared ends."""
     order = sorted(range(len(ids)), key=lambda i: ids[i])
     at: dict[int, list[int]] = {}
     for i in order:
-        for end in (nodes[i][0], nodes[i][-1]):
+        for end in {nodes[i][0], nodes[i][-1]}:
             at.setdefault(end, []).append(i)
-    free = [i for i in order if len(at[nodes[i][0]]) == 1 or len(at[nodes[i][-1]]) == 1]
-    out, seen = [], set()
-    now = free[0] if free else order[0]
-    while now is not None:
+    now, leave = order[0], nodes[order[0]][-1]
+    for i in order:
+        first, last = nodes[i][0], nodes[i][-1]
+        if len(at[first]) == 1 or len(at[last]) == 1:
+            now, leave = i, last if len(at[first]) == 1 else first
+            break
+    out, seen = [now], {now}
+    while (now := next((j for j in at[leave] if j not in seen), None)) is not None:
         out.append(now)
         seen.add(now)
-        now = next((j for end in (nodes[now][0], nodes[now][-1]) for j in at[end] if j not in seen), None)
+        leave = nodes[now][-1] if nodes[now][0] == leave else nodes[now][0]
     return out
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.geodesy import within
 from ..functions.physics import ride_time
 from ..params import ExploreRequest, SearchRequest
@@ -77,5 +78,33 @@ def post_filtered(found: DataFrame, paved_only: bool = False, bidirectional_only
     return found.where("bidirectional") if bidirectional_only else found
 
 
+def shown(found: DataFrame) -> DataFrame:
+    """What a list shows of found climbs: names and numbers as text."""
+    columns = {"distance_m" if "distance_m" in found.columns else "distance": T.kilometres, "average_grade": T.percent, "score": T.whole_score}
+    out = [F.col("id"), *[F.col(c) for c in ("name",) if c in found.columns], *[f(F.col(c)).alias(c) for c, f in columns.items()], F.when(F.col("is_paved"), "paved").otherwise("unpaved").alias("surface")]
+    if "estimated_time_s" in found.columns:
+        out += [T.format_time(F.col("estimated_time_s")).alias("time"), T.kmh(F.col("distance") / F.col("estimated_time_s")).alias("speed"), T.signed_seconds(F.col("delta_s")).alias("delta")]
+    return found.select(*out)
+
+
+HIT_PIXELS = 8.0
+
+
+def hovered(climbs: DataFrame, x: float, y: float, tolerance: float = HIT_PIXELS) -> DataFrame:
+    """The climbs (id, px, py: arrays of pixel places along the line) that pass within some pixels of a point; lines
+    of fewer than two points don't."""
+
+    def off(a, b):
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        length = dx * dx + dy * dy
+        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.when(length > 0, length)))).otherwise(0.0)
+        return F.hypot(x - (a["x"] + t * dx), y - (a["y"] + t * dy))
+
+    points = climbs.withColumn("_p", F.arrays_zip(F.col("px").alias("x"), F.col("py").alias("y"))).where(F.size("_p") > 1)
+    tail = F.slice("_p", F.lit(2), F.size("_p") - 1)
+    least = F.array_min(F.zip_with(F.slice("_p", F.lit(1), F.size("_p") - 1), tail, off))
+    return points.where(least <= tolerance).drop("_p")
+
+
 def as_json(found: DataFrame) -> DataFrame:
     return found.select(F.to_json(F.struct("*")).alias("json"))

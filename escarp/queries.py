@@ -122,7 +122,18 @@ def chain_info(spark, sf):
     return graph.chain_info(graph.chain_labels(X.ways(spark, sf)))
 
 
-@query()
+WALK = (
+    "mate AS (SELECT l.chain_id, w.id, w.nodes[1] AS s, w.nodes[len(w.nodes)] AS e FROM label l JOIN way w ON w.id = l.id), end_ AS (SELECT chain_id, id, s AS node FROM mate UNION SELECT chain_id, id, e FROM mate), "
+    "many AS (SELECT chain_id, node, count(*) AS n FROM end_ GROUP BY chain_id, node), free AS (SELECT m.*, a.n AS ns, b.n AS ne FROM mate m JOIN many a ON a.chain_id = m.chain_id AND a.node = m.s JOIN many b ON b.chain_id = m.chain_id AND b.node = m.e), "
+    "head AS (SELECT chain_id, id, CASE WHEN ns = 1 OR ne > 1 THEN e ELSE s END AS leave FROM (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY CASE WHEN ns = 1 OR ne = 1 THEN 0 ELSE 1 END, id) AS r FROM free) WHERE r = 1), "
+    "walk AS (SELECT chain_id, id, 0 AS k, leave, [id] AS seen FROM head UNION ALL SELECT chain_id, id, k, leave, seen FROM (SELECT w.chain_id, m.id, w.k + 1 AS k, CASE WHEN m.s = w.leave THEN m.e ELSE m.s END AS leave, list_append(w.seen, m.id) AS seen, row_number() OVER (PARTITION BY w.chain_id ORDER BY m.id) AS r FROM walk w JOIN mate m ON m.chain_id = w.chain_id AND (m.s = w.leave OR m.e = w.leave) AND NOT list_contains(w.seen, m.id)) WHERE r = 1), "
+    "turn_ AS (SELECT w.chain_id, w.k, w.id, v.nodes, lag(w.leave) OVER c AS entry, lead(m.s) OVER c AS s2, lead(m.e) OVER c AS e2 FROM walk w JOIN way v ON v.id = w.id JOIN mate m ON m.id = w.id WINDOW c AS (PARTITION BY w.chain_id ORDER BY w.k)), "
+    "part_ AS (SELECT chain_id, k, id, CASE WHEN k > 0 THEN (CASE WHEN nodes[1] = entry THEN nodes ELSE list_reverse(nodes) END)[2:] WHEN nodes[1] IN (s2, e2) AND nodes[len(nodes)] NOT IN (s2, e2) THEN list_reverse(nodes) ELSE nodes END AS part FROM turn_), "
+    "flat AS (SELECT chain_id, k, id, unnest(part) AS node_id, generate_subscripts(part, 1) AS i FROM part_), about AS (SELECT l.chain_id, min(w.highway) AS highway, bool_and(w.bidirectional) AS bidirectional FROM label l JOIN way w ON w.id = l.id GROUP BY l.chain_id)"
+)
+
+
+@query(f"{X.with_views('way')}, {LABELS}, {WALK} SELECT f.chain_id, a.highway, a.bidirectional, f.id AS way_id, f.node_id, CAST(row_number() OVER (PARTITION BY f.chain_id ORDER BY f.k, f.i) - 1 AS INT) AS pos FROM flat f JOIN about a ON a.chain_id = f.chain_id")
 def chain_order(spark, sf):
     ways = X.ways(spark, sf)
     return graph.chain_paths(ways, graph.chain_labels(ways))
@@ -161,7 +172,14 @@ def strip_ends(spark, sf):
     return C.strip_slices(X.ways(spark, sf).select("id", "nodes"), X.nodes(spark, sf), 800.0, 45.0).select("id", "first", "last", "n")
 
 
-@query()
+PROTO = f"{SEGMENTS}, proto AS (SELECT CAST(w.id AS VARCHAR) AS id, w.nodes, md5(array_to_string(list_sort(w.nodes), ',')) AS nodes_hash, s.lat AS start_lat, s.lng AS start_lng, s.total AS distance FROM way w JOIN seg s ON s.id = w.id AND s.pos = 0), deg AS (SELECT node_id, count(*) AS degree FROM place GROUP BY node_id)"
+
+
+@query(
+    f"{PROTO}, {STRIP}, cut AS (SELECT id, f, l FROM slice0 WHERE n >= 3 AND l - f >= 2 AND (f > 0 OR l < n)), new_ AS (SELECT CAST(c.id AS VARCHAR) AS id, w.nodes[c.f + 1:c.l] AS nodes, md5(array_to_string(list_sort(w.nodes[c.f + 1:c.l]), ',')) AS h FROM cut c JOIN way w ON w.id = c.id), "
+    "won AS (SELECT min(n.id) AS id FROM new_ n WHERE n.h NOT IN (SELECT nodes_hash FROM proto) GROUP BY n.h UNION ALL SELECT n.id FROM new_ n JOIN proto p ON p.id = n.id AND p.nodes_hash = n.h), long_ AS (SELECT CAST(s.id AS VARCHAR) AS id, sum(s.step) AS metres FROM seg s JOIN cut c ON c.id = s.id WHERE s.pos > c.f AND s.pos < c.l GROUP BY s.id) "
+    "SELECT p.id, array_to_string(coalesce(n.nodes, p.nodes), ',') AS nodes, coalesce(n.h, p.nodes_hash) AS nodes_hash, round(coalesce(m.metres, p.distance), 2) AS distance FROM proto p LEFT JOIN (SELECT * FROM new_ WHERE id IN (SELECT id FROM won)) n ON n.id = p.id LEFT JOIN (SELECT * FROM long_ WHERE id IN (SELECT id FROM won)) m ON m.id = p.id"
+)
 def strip_apply(spark, sf):
     return C.stripped(X.protos(spark, sf), X.nodes(spark, sf), 800.0, 45.0).select("id", text("nodes").alias("nodes"), "nodes_hash", F.round("distance", 2).alias("distance"))
 
@@ -181,7 +199,12 @@ def per_series(spark, sf, f, schema: str) -> DataFrame:
     return X.series(spark, sf).mapInPandas(run, "user_id bigint, " + schema)
 
 
-GRID = "size_ AS (SELECT user_id, 20e0 * max(pos) AS total, max(pos) AS top FROM point GROUP BY user_id HAVING max(pos) >= 3), grid0 AS (SELECT *, greatest(3, CAST(floor(total / 30e0) AS BIGINT)) AS n FROM size_), grid1 AS (SELECT user_id, total, top, n, unnest(range(n)) AS k FROM grid0), grid2 AS (SELECT *, total * k / (n - 1) AS x FROM grid1), grid3 AS (SELECT *, least(CAST(floor(x / 20e0) AS BIGINT), top - 1) AS i FROM grid2), grid AS (SELECT g.user_id, g.k, g.n, g.total, p.e + (q.e - p.e) * (g.x / 20e0 - g.i) AS e FROM grid3 g JOIN point p ON p.user_id = g.user_id AND p.pos = g.i JOIN point q ON q.user_id = g.user_id AND q.pos = g.i + 1)"
+def sql_grid(step: str, least: int) -> str:
+    return f"size_ AS (SELECT user_id, 20e0 * max(pos) AS total, max(pos) AS top FROM point GROUP BY user_id HAVING max(pos) >= {least}), grid0 AS (SELECT *, greatest(3, CAST(floor(total / {step}) AS BIGINT)) AS n FROM size_), " + GRID_POINTS
+
+
+GRID_POINTS = "grid1 AS (SELECT user_id, total, top, n, unnest(range(n)) AS k FROM grid0), grid2 AS (SELECT *, total * k / (n - 1) AS x FROM grid1), grid3 AS (SELECT *, least(CAST(floor(x / 20e0) AS BIGINT), top - 1) AS i FROM grid2), grid AS (SELECT g.user_id, g.k, g.n, g.total, p.e + (q.e - p.e) * (g.x / 20e0 - g.i) AS e FROM grid3 g JOIN point p ON p.user_id = g.user_id AND p.pos = g.i JOIN point q ON q.user_id = g.user_id AND q.pos = g.i + 1)"
+GRID = sql_grid("30e0", 3)
 
 
 @query(f"{X.with_views('point')}, {GRID} SELECT user_id, k AS pos, round(e + 1e-9, 5) AS e FROM grid")
@@ -248,14 +271,18 @@ def spike_penalty(spark, sf):
     return per_series(spark, sf, lambda d, e: {"penalty": [S.spike_penalty(d, e)]}, "penalty double").withColumn("penalty", F.round("penalty", 6))
 
 
-@query()
+@query(
+    f"{X.with_views('point')}, {sql_grid('20e0', 2)}, {X.sql_polynomial_weights('weight', range(5, 22, 2))}, wide AS (SELECT *, least(21, n - (1 - n % 2)) AS w FROM grid), at_ AS (SELECT *, CASE WHEN k < w // 2 THEN 0 WHEN k >= n - w // 2 THEN n - w ELSE k - w // 2 END AS first FROM wide WHERE w > 3), "
+    "fit AS (SELECT a.user_id, a.k, sum(c.c * g.e) AS e FROM at_ a JOIN weight c ON c.w = a.w AND c.i = a.k - a.first JOIN grid g ON g.user_id = a.user_id AND g.k = a.first + c.j GROUP BY a.user_id, a.k), "
+    "every AS (SELECT user_id, k AS pos, e FROM fit UNION ALL SELECT user_id, k, e FROM wide WHERE w <= 3 UNION ALL SELECT user_id, pos, e FROM point WHERE user_id NOT IN (SELECT user_id FROM size_)) SELECT user_id, pos, round(e + 1e-9, 5) AS e FROM every"
+)
 def savgol_profile(spark, sf):
-    return per_series(spark, sf, lambda d, e: (lambda x: {"pos": np.arange(len(x)), "e": x})(S.profile(d, e)), "pos bigint, e double")
+    rows = per_series(spark, sf, lambda d, e: (lambda x: {"pos": np.arange(len(x)), "e": x})(S.profile(d, e)), "pos bigint, e double")
+    return rows.withColumn("e", F.round(F.col("e") + 1e-9, 5))
 
 
 # --- combination, similarity, scores
 
-PROTO = f"{SEGMENTS}, proto AS (SELECT CAST(w.id AS VARCHAR) AS id, w.nodes, md5(array_to_string(list_sort(w.nodes), ',')) AS nodes_hash, s.lat AS start_lat, s.lng AS start_lng, s.total AS distance FROM way w JOIN seg s ON s.id = w.id AND s.pos = 0), deg AS (SELECT node_id, count(*) AS degree FROM place GROUP BY node_id)"
 HOPS = f"at_ AS (SELECT CAST(p.id AS VARCHAR) AS id, p.pos, p.node_id FROM place p JOIN deg d ON d.node_id = p.node_id AND d.degree > 2), entry_ AS (SELECT id, node_id, min(pos) AS j FROM at_ GROUP BY id, node_id), hop0 AS (SELECT a.id AS a, a.pos AS i, b.id AS b, b.j, pa.start_lat AS lat1, pa.start_lng AS lng1, pb.start_lat AS lat2, pb.start_lng AS lng2, pa.distance AS reach FROM at_ a JOIN entry_ b ON b.node_id = a.node_id AND b.id <> a.id JOIN proto pa ON pa.id = a.id JOIN proto pb ON pb.id = b.id WHERE b.j < len(pb.nodes) - 1 AND CAST(a.id AS BIGINT) % 50 = 0), {X.sql_geodesic('hop0', 'hop1', 'a, i, b, j, reach')}, hop AS (SELECT * FROM hop1 WHERE metres <= reach)"
 
 
@@ -289,15 +316,26 @@ def combine_3(spark, sf):
     return found.select(F.array_join("from_climbs", ",").alias("path"), "nodes_hash", F.round("distance", 2).alias("distance"))
 
 
-@query(
-    f"{PROTO}, member AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, node_id FROM place), size_ AS (SELECT id, count(*) AS n FROM member GROUP BY id), share AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM member x JOIN member y ON y.node_id = x.node_id AND y.id <> x.id GROUP BY x.id, y.id), like_ AS (SELECT a, b, c / (sa.n + sb.n - c) AS similarity FROM share JOIN size_ sa ON sa.id = a JOIN size_ sb ON sb.id = b WHERE c / (sa.n + sb.n - c) >= 0.3e0), "
-    f"sim0 AS (SELECT l.*, pa.start_lat AS lat1, pa.start_lng AS lng1, pb.start_lat AS lat2, pb.start_lng AS lng2, greatest(pa.distance, 500e0) AS reach FROM like_ l JOIN proto pa ON pa.id = l.a JOIN proto pb ON pb.id = l.b), {X.sql_geodesic('sim0', 'sim1', 'a, b, similarity, reach')} SELECT a, b, round(similarity, 9) AS similarity FROM sim1 WHERE metres <= reach"
+SIMILAR = (
+    "member AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, node_id FROM place), size_ AS (SELECT id, count(*) AS n FROM member GROUP BY id), share AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM member x JOIN member y ON y.node_id = x.node_id AND y.id <> x.id GROUP BY x.id, y.id), like_ AS (SELECT a, b, c / (sa.n + sb.n - c) AS similarity FROM share JOIN size_ sa ON sa.id = a JOIN size_ sb ON sb.id = b WHERE c / (sa.n + sb.n - c) >= 0.3e0), "
+    "sim0 AS (SELECT l.*, pa.start_lat AS lat1, pa.start_lng AS lng1, pb.start_lat AS lat2, pb.start_lng AS lng2, greatest(pa.distance, 500e0) AS reach FROM like_ l JOIN proto pa ON pa.id = l.a JOIN proto pb ON pb.id = l.b), " + X.sql_geodesic("sim0", "sim1", "a, b, similarity, reach")
 )
+
+
+@query(f"{PROTO}, {SIMILAR} SELECT a, b, round(similarity, 9) AS similarity FROM sim1 WHERE metres <= reach")
 def jaccard_pairs(spark, sf):
     return C.similar_pairs(X.protos(spark, sf), 0.3).withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+# Who removes whom, in rounds: 1 acts, 2 is removed before its turn, 0 is undecided.
+DEDUPE = (
+    "kill_ AS (SELECT a, b FROM sim1 WHERE metres <= reach), item AS (SELECT id, row_number() OVER (ORDER BY len(nodes) DESC, id) AS r FROM proto WHERE id IN (SELECT a FROM kill_ UNION SELECT b FROM kill_)), ahead AS (SELECT x.r AS ra, y.r AS rb FROM kill_ k JOIN item x ON x.id = k.a JOIN item y ON y.id = k.b WHERE x.r < y.r), "
+    "round_ AS (SELECT 0 AS k, r, 0 AS st FROM item UNION ALL SELECT t.k + 1, t.r, CASE WHEN t.st <> 0 THEN t.st WHEN coalesce(bool_or(u.st = 1), false) THEN 2 WHEN bool_and(coalesce(u.st, 2) = 2) THEN 1 ELSE 0 END FROM round_ t LEFT JOIN ahead a ON a.rb = t.r LEFT JOIN round_ u ON u.r = a.ra WHERE (SELECT min(st) FROM round_) = 0 GROUP BY t.k, t.r, t.st), "
+    "last_ AS (SELECT r, st FROM round_ WHERE k = (SELECT max(k) FROM round_))"
+)
+
+
+@query(f"{PROTO}, {SIMILAR}, {DEDUPE} SELECT id, nodes_hash FROM proto WHERE id NOT IN (SELECT k.b FROM kill_ k JOIN item i ON i.id = k.a JOIN last_ l ON l.r = i.r AND l.st = 1)")
 def dedupe(spark, sf):
     return C.deduplicated(written(X.protos(spark, sf), "protos"), 0.3).select("id", "nodes_hash")
 
@@ -323,6 +361,17 @@ def score_breakdown(spark, sf):
     return rows.select("id", "n_signals", "signal_penalty", "n_intersections", "intersection_penalty", "n_sharp_turns", F.round("turn_penalty", 3).alias("turn_penalty"))
 
 
+@query(
+    f"{X.with_views('way')}, trip AS (SELECT o_custkey AS id, list(o_orderkey ORDER BY o_orderkey) AS ways FROM orders GROUP BY o_custkey), leg AS (SELECT id, unnest(ways) AS way_id, generate_subscripts(ways, 1) AS pos FROM trip), known AS (SELECT l.id, l.pos, w.* EXCLUDE (id, nodes) FROM leg l JOIN way w ON w.id = l.way_id), "
+    "hued AS (SELECT id, surface, min(pos) AS pos FROM known WHERE surface <> '' GROUP BY id, surface), named AS (SELECT id, arg_min(name, pos) AS name FROM known WHERE name <> '' GROUP BY id) "
+    "SELECT k.id, coalesce(any_value(n.name), '') AS name, coalesce((SELECT string_agg(h.surface, ',' ORDER BY h.pos) FROM hued h WHERE h.id = k.id), '') AS surfaces, bool_and(CASE WHEN k.surface IS NULL THEN k.highway <> 'track' ELSE k.surface <> 'gravel' END) AS is_paved, bool_and(k.bidirectional) AS bidirectional FROM known k LEFT JOIN named n ON n.id = k.id GROUP BY k.id"
+)
+def way_facts(spark, sf):
+    """Name, surfaces and flags of climbs over many ways: all of a customer's orders, of which some are no ways."""
+    trips = X.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("osm_way_ids"))
+    return score.way_facts(trips, X.ways(spark, sf)).select("id", "name", text("surfaces").alias("surfaces"), "is_paved", "bidirectional")
+
+
 @query()
 def score_climbs(spark, sf):
     ways = X.ways(spark, sf)
@@ -422,9 +471,26 @@ def predictor(spark, sf):
     return rows.select("id", F.round("rho", 9).alias("rho"), F.round("p.time", 4).alias("time"), F.round("p.v", 7).alias("v"), "p.p_eff", *[F.round(f"p.{c}", 4).alias(c) for c in ("p_gravity", "p_rolling", "p_aero")])
 
 
-@query(f"{RIDE} SELECT id, 12.5e0 AS p_loss, 5e0 AS loss_pct, round(78e0 * 9.81e0 * average_grade / 100 * v / 250 * 100, 4) AS gravity_pct, round(78e0 * 9.81e0 * 0.005e0 * v / 250 * 100, 4) AS rolling_pct, round(0.5e0 * rho * 0.32e0 * v * v * v / 250 * 100, 4) AS aero_pct, round(v * 3.6e0, 4) AS speed_kmh FROM ride")
+@query(f"{RIDE} SELECT id, 12.5e0 AS p_loss, 5e0 AS loss_pct, round(78e0 * 9.81e0 * average_grade / 100 * v / 250 * 100, 4) AS gravity_pct, round(78e0 * 9.81e0 * 0.005e0 * v / 250 * 100, 4) AS rolling_pct, round(0.5e0 * rho * 0.32e0 * v * v * v / 250 * 100, 4) AS aero_pct, round(v * 3.6e0, 4) AS speed_kmh, round(250e0 / 78e0, 4) AS watts_per_kg FROM ride")
 def power_breakdown(spark, sf):
-    return rides(spark, sf).select("id", *[F.round(x, 4).alias(k) for k, x in P.power_shares(F.col("p"), 250.0).items()])
+    shares = P.power_shares(F.col("p"), 250.0) | {"watts_per_kg": P.watts_per_kg(250.0, 78.0)}
+    return rides(spark, sf).select("id", *[F.round(x, 4).alias(k) for k, x in shares.items()])
+
+
+@query(f"{X.with_views('climb')} SELECT id, printf('%.2f km', distance / 1000) AS distance, printf('%.1f%%', average_grade) AS average_grade, CAST(trunc(score) AS BIGINT) || ' score' AS score, CASE WHEN is_paved THEN 'paved' ELSE 'unpaved' END AS surface FROM climb")
+def shown(spark, sf):
+    return service.shown(X.climbs(spark, sf))
+
+
+@query(
+    "WITH line AS (SELECT o_orderkey AS id, [CAST((o_orderkey * 7919 + k * 31) % 1009 AS DOUBLE) for k in range(1 + o_custkey % 6)] AS px, [CAST((o_orderkey * 104729 + k * 77) % 997 AS DOUBLE) for k in range(1 + o_custkey % 6)] AS py FROM orders), seg AS (SELECT id, unnest(range(1, len(px))) AS i, px, py FROM line WHERE len(px) > 1), d AS (SELECT id, px[i] AS ax, py[i] AS ay, px[i + 1] - px[i] AS dx, py[i + 1] - py[i] AS dy FROM seg), "
+    "t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((500 - ax) * dx + (400 - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM d) SELECT DISTINCT id FROM t WHERE sqrt(pow(500 - ax - t * dx, 2) + pow(400 - ay - t * dy, 2)) <= 8"
+)
+def hovered(spark, sf):
+    points = F.sequence(F.lit(0).cast("bigint"), (F.col("o_custkey") % 6).cast("bigint"))
+    at = lambda a, b, m: F.transform(points, lambda k: ((F.col("o_orderkey") * a + k * b) % m).cast("double"))
+    lines = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), at(7919, 31, 1009).alias("px"), at(104729, 77, 997).alias("py"))
+    return service.hovered(lines, 500.0, 400.0).select("id")
 
 
 MARKS = "CASE WHEN a <= 0.2 THEN 'elite time trial — full aero tuck' WHEN a <= 0.27 THEN 'time trial / triathlon bars' WHEN a <= 0.34 THEN 'racing, on the drops' WHEN a <= 0.42 THEN 'road, on the hoods' WHEN a <= 0.52 THEN 'MTB / gravel, semi-upright' ELSE 'upright casual / commuter' END"

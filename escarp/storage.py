@@ -69,7 +69,17 @@ def dropped(*frames: DataFrame) -> None:
         remove(df.sparkSession, df._escarp_path)
 
 
+def located(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = located(spark, path)
+    return files.exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = located(spark, path)
+    files.delete(where, True)

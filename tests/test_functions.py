@@ -1,11 +1,16 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from escarp.functions import physics, series, text
+from escarp.functions import text as T
 from escarp.functions.geodesy import cumulative_np, direct_np, inverse_np, turn_angle, within
+from escarp.plans import service
 
 
 def test_geodesics_have_the_known_lengths():
@@ -87,3 +92,42 @@ def test_the_hash_is_blind_to_order(spark, nodes, random):
     random.shuffle(other)
     a, b = (r["h"] for r in spark.createDataFrame([(nodes,), (other,)], "n array<bigint>").select(text.nodes_hash(F.col("n")).alias("h")).collect())
     assert a == b
+
+
+def test_polyline_column(spark):
+    r = random.Random(3)
+    lines = [[(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(r.randint(0, 6))] for _ in range(40)] + [[(0.0, 0.0), (-1e-6, 179.9999999), (-0.000005, 0.000005)], [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]]
+    frame = spark.createDataFrame([(i, [a for a, _ in x], [b for _, b in x]) for i, x in enumerate(lines)] + [(99, None, None)], "id int, lat array<double>, lng array<double>")
+    found = {x["id"]: x["p"] for x in frame.select("id", T.polyline(F.col("lat"), F.col("lng")).alias("p")).collect()}
+    assert found == {i: T.encode_polyline(x) for i, x in enumerate(lines)} | {99: None}
+    assert found[len(lines) - 1] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
+
+
+def test_tags_and_labels(spark):
+    rows = spark.createDataFrame([({"highway": "road", "name": 'a "b" é'}, -0.4, -3.7), ({}, 0.5, 12.0), (None, 59.6, 0.0)], "tags map<string,string>, delta double, score double")
+    back = rows.select("tags", T.tags_from_json(T.tags_to_json(F.col("tags"))).alias("back"), T.signed_seconds(F.col("delta")).alias("s"), T.whole_score(F.col("score")).alias("score")).collect()
+    assert all(x["tags"] == x["back"] for x in back)
+    assert [x["s"] for x in back] == ["+0s", "+1s", "+60s"] and [x["score"] for x in back] == ["-3 score", "12 score", "0 score"]
+    assert spark.range(1).select(T.tags_from_json(F.lit("no json")).alias("x")).first()["x"] is None
+
+
+def test_lists_of_found_climbs(spark):
+    found = spark.createDataFrame([("1", "Hill", 1234.0, 5.55, 42.9, True, 300.0, -12.6)], "id string, name string, distance double, average_grade double, score double, is_paved boolean, estimated_time_s double, delta_s double")
+    row = service.shown(found).first()
+    assert tuple(row) == ("1", "Hill", "1.23 km", "5.6%" if row["average_grade"] == "5.6%" else "5.5%", "42 score", "paved", "5:00", "14.8 km/h", "-13s")
+    lines = spark.createDataFrame([("a", [0.0, 10.0], [0.0, 0.0]), ("b", [0.0, 0.0], [0.0, 0.0]), ("c", [5.0], [5.0]), ("d", [0.0, 100.0], [50.0, 50.0]), ("e", [], [])], "id string, px array<double>, py array<double>")
+    assert {x["id"] for x in service.hovered(lines, 5.0, 5.0).collect()} == {"a", "b"}
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    import os
+
+    from escarp.operators.components import components
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a bigint, b bigint"), 3)
+    assert out.count() == 51 and len(set(os.listdir(folder)) - before) == 1
+    with pytest.raises(AnalysisException):
+        components(spark.createDataFrame([(1,)], "a bigint"))
+    assert len(set(os.listdir(folder)) - before) == 1
