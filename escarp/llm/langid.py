@@ -13,8 +13,8 @@ score is the calibrated probability that the choice is right: a logistic regress
 seen, on the margin to the second language, on how much less likely the text is than that language's texts of such a
 length usually are, and on the length.  Texts of a language that isn't known are learned from by leaving out each
 text's own language in turn, so that the choice among the others is wrong.  A text is rejected if it has no letter or
-if its score is below a limit: one half, or less if that would reject more than a set share of the texts that are
-identified rightly.
+if its score is below a limit.  All but a set share of the texts that are identified rightly score more than some
+value; the limit is half that value's log odds, or the value itself if it is below one half.
 """
 
 from __future__ import annotations
@@ -144,7 +144,9 @@ class Calibration:
         self.weights[[0, *(k + 1 for k in use)]] = w
         kept = self.probability(x[known & right])
         if len(kept):
-            self.least = min(0.5, float(np.sort(kept)[int(FALSE_REJECTIONS * len(kept))]))
+            low = float(np.sort(kept)[int(FALSE_REJECTIONS * len(kept))])
+            odds = np.sqrt(low / max(1 - low, 1e-12))  # half the log odds
+            self.least = min(low, float(odds / (1 + odds))) if low > 0.5 else low
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
