@@ -6,8 +6,9 @@ fit, else 4), `<name>.offsets` (int64, one more than documents, counted from the
 base: how many tokens and documents stand before it, the prefix sums over shards.  Position p of the whole stream is
 therefore found by two searches, and shards on a local or mounted disk are memory-mapped; others are read by ranges.
 
-Texts are encoded where they lie, and what is written, shuffled and sorted are their ids, as bytes in the files' own
-format.  The number of shards follows the bytes.  Each task writes files under names of its own and reports them in
+Texts are encoded where they lie, and what is shuffled and sorted are their ids, as bytes in the files' own format.
+The number of shards follows the bytes of the texts, and the borders between shards a sample of ids and text hashes, so
+that rows that share an id are spread too.  Each task writes files under names of its own and reports them in
 its result row, so that of repeated or speculative attempts only the one whose row Spark keeps is in the manifest.
 """
 
@@ -42,22 +43,40 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def encoded(df: DataFrame, vocabulary, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tie, ids): the ids of every text as bytes in the files' format; `tie` is the text's hash."""
+class Borders:
+    """Places of rows (id, tie) among the borders of shards; rows without an id come first."""
+
+    def __init__(self, rows: list[tuple[int | None, int]], shards: int):
+        rows = sorted((i is not None, i or 0, t) for i, t in rows)
+        picked = sorted({rows[k * len(rows) // shards] for k in range(1, shards)} if rows else set())
+        self.keys = [np.array([r[k] for r in picked], dtype=np.int64) for k in range(3)]
+
+    def shard(self, ids: pa.Array, tie: np.ndarray) -> np.ndarray:
+        row = [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False), tie]
+        present, number, hash_ = (np.concatenate((a, b)) for a, b in zip(self.keys, row, strict=True))
+        own = np.arange(len(present)) >= len(self.keys[0])
+        order = np.lexsort((own, hash_, number, present))
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(~own[order])
+        return before[len(self.keys[0]) :].astype(np.int32)
+
+
+def encoded(df: DataFrame, vocabulary, borders, end_id: int | None) -> DataFrame:
+    """(shard, id, tie, ids): the ids of every text (id, tie, text) as bytes in the files' format."""
     kind = id_type(vocabulary)
 
     def run(batches):
         for batch in batches:
+            shard = pa.array(borders.value.shard(batch.column("id"), batch.column("tie").to_numpy()))
             for row, ids, counts in coder(vocabulary).encode_column(batch.column("text")):
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
                 ends = np.concatenate(([0], np.cumsum(counts * kind.itemsize))).astype(np.int32)
                 raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, len(counts)), batch.column("tie").slice(row, len(counts)), raw], ["id", "tie", "ids"])
+                yield pa.RecordBatch.from_arrays([*(x.slice(row, len(counts)) for x in (shard, batch.column("id"), batch.column("tie"))), raw], ["shard", "id", "tie", "ids"])
 
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, tie bigint, ids binary")
+    return df.mapInArrow(run, "shard int, id bigint, tie bigint, ids binary")
 
 
 def id_type(vocabulary) -> np.dtype:
@@ -69,41 +88,53 @@ def write(df: DataFrame, vocabulary, folder: str, end_id: int | None = None, id_
 
     A null text is empty (it has the end id alone, if there is one); rows without an id come first.  Rows of one id
     are ordered by their text's hash, then their ids.  An empty table gives a manifest without shards."""
-    kind = id_type(vocabulary)
+    spark, kind = df.sparkSession, id_type(vocabulary)
+    schema = "shard int, name string, docs bigint, tokens bigint, nulls bigint"
 
     def run(batches):
-        name = f"part-{TaskContext.get().partitionId():06d}-{uuid4().hex[:12]}"
         files, path = file_system(folder)
         files.create_dir(path, recursive=True)
-        outs, n_docs, n_tokens, nulls = {}, 0, 0, 0
+        now, outs, done = None, {}, [0, 0, 0]
+
+        def closed():
+            for out in outs.values():
+                out.close()
+            return pa.RecordBatch.from_pylist([dict(zip(("shard", "name", "docs", "tokens", "nulls"), (*now, *done), strict=True))], pa.schema([("shard", pa.int32()), ("name", pa.string()), *((x, pa.int64()) for x in ("docs", "tokens", "nulls"))]))
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if not outs:
-                outs = {x: files.open_output_stream(f"{path}/{name}.{x}") for x in ("ids", "offsets", "docs")}
-                outs["offsets"].write(np.zeros(1, "<i8").tobytes())
-            docs, column = batch.column("id"), batch.column("ids")
-            wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-            ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            if ends[-1] > ends[0]:
-                outs["ids"].write(memoryview(column.buffers()[2])[ends[0] : ends[-1]])
-            outs["offsets"].write((n_tokens + (ends[1:] - ends[0]) // kind.itemsize).astype("<i8").tobytes())
-            outs["docs"].write(docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            n_docs, n_tokens, nulls = n_docs + len(docs), n_tokens + int(ends[-1] - ends[0]) // kind.itemsize, nulls + docs.null_count
-        for out in outs.values():
-            out.close()
-        if n_docs:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "docs": pa.array([n_docs], pa.int64()), "tokens": pa.array([n_tokens], pa.int64()), "nulls": pa.array([nulls], pa.int64())})
-
-    rows = written(encoded(df, vocabulary, end_id, id_col, text_col), "encoded")
-    size = rows.agg(F.sum(F.length("ids").cast("bigint"))).first()[0] or 0
-    dealt = rows.repartitionByRange(min(SHARDS, max(1, -(-size // shard_bytes))), "id", "tie").sortWithinPartitions("id", "tie", "ids").select("id", "ids")
-    report = written(dealt.mapInArrow(run, "part int, name string, docs bigint, tokens bigint, nulls bigint"), "shards")
+            shards = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)] if len(shards) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if now is None or now[0] != shards[a]:
+                    if now:
+                        yield closed()
+                    now, done = (int(shards[a]), f"part-{shards[a]:06d}-{uuid4().hex[:12]}"), [0, 0, 0]
+                    outs = {x: files.open_output_stream(f"{path}/{now[1]}.{x}") for x in ("ids", "offsets", "docs")}
+                    outs["offsets"].write(np.zeros(1, "<i8").tobytes())
+                docs, column_ = batch.column("id").slice(a, b - a), batch.column("ids").slice(a, b - a)
+                wide = np.int64 if pa.types.is_large_binary(column_.type) else np.int32
+                ends = np.frombuffer(column_.buffers()[1], wide)[column_.offset : column_.offset + b - a + 1].astype(np.int64)
+                if ends[-1] > ends[0]:
+                    outs["ids"].write(memoryview(column_.buffers()[2])[ends[0] : ends[-1]])
+                outs["offsets"].write((done[1] + (ends[1:] - ends[0]) // kind.itemsize).astype("<i8").tobytes())
+                outs["docs"].write(docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                done = [done[0] + b - a, done[1] + int(ends[-1] - ends[0]) // kind.itemsize, done[2] + docs.null_count]
+        if now:
+            yield closed()
+
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("bigint"))).first()
+    # Some 2 bytes of ids for each of a text, and at least the end ids.
+    shards = min(SHARDS, max(1, -(-((size or 0) + n) // shard_bytes)))
+    drawn = rows.select("id", "tie").sample(min(1.0, 50 * shards / max(1, n)), 1) if shards > 1 else rows.select("id", "tie").limit(0)
+    borders = spark.sparkContext.broadcast(Borders([tuple(r) for r in drawn.collect()], shards))  # some 50 rows a shard
+    dealt = encoded(rows, vocabulary, borders, end_id).repartitionById(shards, "shard").sortWithinPartitions("shard", "id", "tie", "ids").select("shard", "id", "ids")
+    report = written(dealt.mapInArrow(run, schema), "shards")
     manifest, docs, tokens = [], 0, 0
-    for r in report.orderBy("part").collect():  # a row for each shard, SHARDS at most
+    for r in report.orderBy("shard").collect():  # a row for each shard, SHARDS at most
         manifest.append({"name": r["name"], "docs": r["docs"], "tokens": r["tokens"], "nulls": r["nulls"], "first_doc": docs, "base": tokens})
         docs, tokens = docs + r["docs"], tokens + r["tokens"]
-    dropped(rows, report)
+    dropped(report)
     files, path = file_system(folder)
     files.create_dir(path, recursive=True)
     with files.open_output_stream(f"{path}/manifest.json") as out:
