@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, Rolling, mix, text_buffer, units
+from .arrays import U64, UNIT, Rolling, mix, text_buffer, units
 from .codepoints import letters
+from .store import dropped, written
 
 #: Labelled rows that are trained on at most (about), words kept, and folds.
 SAMPLE, WORDS, FOLDS = 10_000, 8_000, 5
@@ -49,9 +50,37 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(parts) & MASK, np.concatenate(owners)
 
 
+def ranges(data: np.ndarray) -> list[tuple[int, int]]:
+    """A long text's ranges of about UNIT bytes that begin with no letter, so that no word is cut."""
+    cuts, at = [0], UNIT
+    while at < len(data):
+        window = data[at : at + UNIT]
+        lead = np.flatnonzero((window & 0xC0) != 0x80)
+        gap = lead[letters(window[lead[0] :], np.array([0, len(window) - lead[0]]))[0] == 0]
+        gap = gap[gap < len(window) - 3]
+        if gap.size:
+            at += int(gap[0])
+            cuts.append(at)
+        at += UNIT
+    return list(zip(cuts, [*cuts[1:], len(data)], strict=True))
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, text of each), each once in a text, ordered by hash."""
+    if len(offsets) == 2 and len(data) > 4 * UNIT:
+        h = np.unique(np.concatenate([np.unique(word_hashes(data[a:b], np.array([0, b - a]))[0]) for a, b in ranges(data)]))
+        return h, np.zeros(len(h), np.int64)
+    h, owner = word_hashes(data, offsets)
+    order = np.lexsort((owner, h))
+    h, owner = h[order], owner[order]
+    first = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, dtype=bool)
+    return h[first], owner[first]
+
+
 def present(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, place in `kept`) of the kept words that occur, each once."""
-    h, owner = word_hashes(data, offsets)
+    long = len(offsets) == 2 and len(data) > 4 * UNIT
+    h, owner = distinct_words(data, offsets) if long else word_hashes(data, offsets)
     place = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
     hit = kept[place] == h if len(kept) else np.zeros(len(h), dtype=bool)
     both = np.unique(owner[hit] * len(kept) + place[hit])
@@ -162,22 +191,20 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def train(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, words: int = WORDS) -> Chain:
     """A chain from rows (id, text, a 0/1 column for each category, null where unknown).  Rows are drawn by a hash of
-    the id if there are more than `sample`; repeated rows count as often as they occur, null texts are empty."""
+    id and text if there are more than `sample`; equal rows count once, null texts are empty."""
     rows = labelled.where(F.col("id").isNotNull())
     n = rows.count()
     share = min(1.0, sample / max(1, n))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
-    picked = picked.select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("double").alias(c) for c in categories])
+    picked = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+    # Written: the few rows of the sample are read twice.
+    drawn = written(picked.dropDuplicates(), "sample")
+    picked = drawn.select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("double").alias(c) for c in categories])
 
     def count(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for a, b in units(data, offsets):
-                h, owner = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                order = np.lexsort((owner, h))
-                h, owner = h[order], owner[order]
-                first = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, dtype=bool)
-                h, owner = h[first], owner[first]
+                h, owner = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 word, back = np.unique(h, return_inverse=True)
                 columns = [np.bincount(back, minlength=len(word))]
                 for c in categories:
@@ -188,6 +215,7 @@ def train(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, word
     total, *with_ = picked.agg(F.count("*"), *[F.sum(c) for c in categories]).first()
     kinds = ", ".join(f"c{i} bigint" for i in range(len(categories)))
     counts = picked.mapInArrow(count, f"word bigint, n bigint, {kinds}").groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(categories))]).where("n >= 3")
+    counts = written(counts, "words")
     # The chi-square of word and category, the largest over categories.
     chi = []
     for i, positive in enumerate(with_):
@@ -215,6 +243,7 @@ def train(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, word
     labels = np.column_stack([table.column(c).to_numpy() for c in categories]).astype(float)
     fold = np.array([zlib.crc32(x.encode()) % FOLDS for x in table.column("id").to_pylist()], dtype=np.int64)
     chain.train(owner, np.asarray(words_.flatten()), labels, fold)
+    dropped(drawn, counts)
     return chain
 
 
@@ -255,9 +284,9 @@ def without(df: DataFrame, chain: Chain, category: str = "toxic", text_col: str
 def trained_on_labels(documents: DataFrame, labels: DataFrame) -> Chain:
     """The chain of the documents and labels tables: low quality first, then toxicity, which may lean on it."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((1 - F.min("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
-    # The sample is drawn from the labels, so that only its texts are shuffled.
+    # The sample is drawn from the labels, so that only its texts are shuffled; `train` draws again if ids repeat.
     n = known.count()
     share = int(min(1.0, SAMPLE / max(1, n)) * (1 << 30))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share)
     rows = documents.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # some SAMPLE rows of three numbers
-    return train(rows.select(F.col("doc_id").alias("id"), "text", "low_quality", "toxic"), ["low_quality", "toxic"], sample=1 << 62)
+    return train(rows.select(F.col("doc_id").alias("id"), "text", "low_quality", "toxic"), ["low_quality", "toxic"], sample=2 * SAMPLE)
