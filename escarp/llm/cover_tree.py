@@ -2,8 +2,8 @@
 
 Unit vectors of one label are cut into blocks.  Where a label has more rows than a block holds, its blocks follow
 pivots, a net over a bounded sample, so that a block is a ball with a centre and a covering radius; a crowded ball is
-cut further by a hash of the id.  The blocks are the top level of the trees: pairs of blocks whose balls are further
-apart than the limit never meet.  For each pair that remains, a task builds a cover tree over either block (levels of
+cut further by a hash of the id.  The blocks are the top level of the trees: pairs of blocks never meet whose centres
+are further apart than both radii and the limit.  For each pair that remains, a task builds a cover tree over either block (levels of
 halving radii, each node with its covering radius) and walks both: a pair of nodes is dropped if the distance of the
 centres exceeds the radii plus the limit, counted as a whole if the centres' distance plus the radii is within it,
 else its children are paired, all by all in one matrix product.  Only pairs of single points are decided by the cosine.
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, joined
-from .store import dropped, written
+from ..operators.components import components, joined
+from .store import cleaned, written
 from .vectors import matrix, usable
 
-#: Rows that a block holds about, and rows of the sample from which pivots are chosen.
-BLOCK, SAMPLE = 1024, 20_000
+#: Rows that a block holds about, rows of the sample from which pivots are chosen, rows compared with all pivots at once.
+BLOCK, SAMPLE, ASSIGNED = 1024, 20_000, 256
 #: Bounds are used with this slack, so that rounding never decides; cosines decide alone.
 SLACK = 1e-6
 
@@ -122,28 +122,27 @@ def walk(a: CoverTree, b: CoverTree, cosine: float, same: bool):
 
 
 def pivots_of(rows: DataFrame, counts: dict, block: int, sample: int) -> dict:
-    """Pivots of every group with more rows than a block: a net (farthest first) over its share of the sample."""
-    large = {k: n for k, n in counts.items() if n > block}
-    total = sum(large.values())
-    if not large:
+    """Pivots of the large groups: a net (farthest first) over each one's share of the sample."""
+    if not counts:
         return {}
-    share = min(1.0, sample / total)
-    picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    names = rows.sparkSession.createDataFrame([(*k,) for k in large], "label int, dim int")
+    share = min(1.0, sample / sum(counts.values()))
+    picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    names = rows.sparkSession.createDataFrame([(*k,) for k in counts], "label string, dim int")
     by: dict = {}
-    for r in picked.join(F.broadcast(names), ["label", "dim"]).select("label", "dim", "vec_id", "unit").orderBy("vec_id").collect():
+    for r in picked.join(F.broadcast(names), ["label", "dim"]).select("label", "dim", "vec_id", "unit").orderBy("vec_id").limit(2 * sample).collect():
         by.setdefault((r["label"], r["dim"]), []).append(r["unit"])
     out = {}
     for key, units in by.items():
         x = np.array(units)
         chosen, least = [0], distances(x[:1], x)[0]
-        while len(chosen) < min(len(x), -(-large[key] // block)) and least.max() > 0:
+        while len(chosen) < min(len(x), -(-counts[key] // block)) and least.max() > 0:
             chosen.append(int(least.argmax()))
             least = np.minimum(least, distances(x[chosen[-1:]], x)[0])
         out[key] = x[chosen]
     return out
 
 
+@cleaned
 def near_duplicates(df: DataFrame, cosine: float = 0.98, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row with (vec_id, embedding, label).
 
@@ -152,27 +151,34 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, block: int = BLOCK, sam
     Rows that share an id are one vertex: their links add up."""
     spark = df.sparkSession
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    rows = df.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = df.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
     # Scaled by the largest component first: squares neither overflow nor vanish.
     rows = rows.withColumn("top", F.array_max(F.transform("x", F.abs))).withColumn("x", F.transform("x", lambda v: v / F.col("top"))).withColumn("norm", norm)
     units = written(rows.select("vec_id", "label", F.size("x").alias("dim"), F.transform("x", lambda v: v / F.col("norm")).alias("unit")), "units")
-    counts = {(r["label"], r["dim"]): r["n"] for r in units.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()}
+    # Groups too small for a row of the sample have no pivots; so `sample` groups at most are collected.
+    least = max(block, units.count() // sample)
+    counts = {(r["label"], r["dim"]): r["n"] for r in units.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()}
     pivots = spark.sparkContext.broadcast(pivots_of(units, counts, block, sample))
 
     def assign(batches):
         for batch in batches:
-            label, dim = (batch.column(c).to_numpy() for c in ("label", "dim"))
-            cell, centre, far = np.zeros(len(label), np.int32), [None] * len(label), np.full(len(label), 2.0)
+            label, dim = np.array(batch.column("label").to_pylist(), dtype=object), batch.column("dim").to_numpy()
+            cell, far = np.zeros(len(label), np.int32), np.full(len(label), 2.0)
             for key in set(zip(label.tolist(), dim.tolist(), strict=True)) & set(pivots.value):
-                at = np.flatnonzero((label == key[0]) & (dim == key[1]))
-                d = distances(matrix(batch.column("unit").take(pa.array(at))), pivots.value[key])
-                cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
+                every = np.flatnonzero((label == key[0]) & (dim == key[1]))
+                for at in np.split(every, range(ASSIGNED, len(every), ASSIGNED)):
+                    d = distances(matrix(batch.column("unit").take(pa.array(at))), pivots.value[key])
+                    cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("vec_id", "label", "dim", "unit")] + [pa.array(cell), pa.array(far)], ["vec_id", "label", "dim", "unit", "cell", "far"])
 
-    celled = written(units.mapInArrow(assign, "vec_id bigint, label int, dim int, unit array<double>, cell int, far double"), "cells")
+    celled = written(units.mapInArrow(assign, "vec_id bigint, label string, dim int, unit array<double>, cell int, far double"), "cells")
     sizes = celled.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     parts = written(sizes.select("label", "dim", "cell", "radius", F.ceil(F.col("n") / block).cast("int").alias("parts")), "parts")
-    kept = written(parts.mapInArrow(lambda batches: near_cells(batches, pivots, cosine), "label int, dim int, cell int, parts int, other int"), "near")
+    radii = {key: np.zeros(len(x)) for key, x in pivots.value.items()}
+    for r in parts.where(F.col("radius") < 2.0).select("label", "dim", "cell", "radius").toLocalIterator():  # a row for each pivot
+        if (r["label"], r["dim"]) in radii:
+            radii[r["label"], r["dim"]][r["cell"]] = r["radius"]
+    kept = written(parts.mapInArrow(lambda batches: near_cells(batches, pivots, radii, cosine), "label string, dim int, cell int, parts int, other int"), "near")
     other = parts.select("label", "dim", F.col("cell").alias("other"), F.col("parts").alias("other_parts"))
     near = kept.join(other, ["label", "dim", "other"])
     # A pair of blocks is named by its two blocks; each block goes to every pair that it is in.
@@ -209,12 +215,10 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, block: int = BLOCK, sam
     every = df.select(F.col("vec_id").cast("bigint").alias("vec_id"))
     out = every.join(links, "vec_id", "left").join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
-    result = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
-    dropped(units, celled, parts, ends, kept)
-    return result
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def near_cells(batches, pivots, cosine: float):
+def near_cells(batches, pivots, radii: dict, cosine: float):
     """For each cell, the cells from itself on that its ball may link with."""
     limit = np.sqrt(2 - 2 * cosine)
     for batch in batches:
@@ -225,7 +229,9 @@ def near_cells(batches, pivots, cosine: float):
             if centres is not None:
                 # A vector of the other cell is nearer to that cell's pivot than to this one.
                 d = distances(centres[cell : cell + 1], centres)[0]
-                others += [k for k in range(cell + 1, len(centres)) if d[k] / 2 <= radius + limit + SLACK]
+                near = (d / 2 <= radius + limit + SLACK) & (d <= radius + radii[label, dim] + limit + SLACK)
+                others += [k for k in np.flatnonzero(near).tolist() if k > cell]
             rows += [(label, dim, cell, parts, k) for k in others]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)], ["label", "dim", "cell", "parts", "other"])
+            columns = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["label", "dim", "cell", "parts", "other"])

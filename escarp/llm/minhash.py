@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import RANDOMS, U64, Rolling, mix, ragged, text_buffer, units
+from .arrays import RANDOMS, U64, UNIT, Rolling, mix, ragged, text_buffer, units
 from .bpe import LOWER
-from .components import components, joined
-from .store import dropped, written
+from ..operators.components import components, joined
+from .store import cleaned, dropped, written
 
 #: A band's rows and the number of bands.  A link at similarity s is missed with probability (1 - s**ROWS)**BANDS at
 #: most: 4e-7 at 0.8, 1e-9 at 0.85.
@@ -48,7 +48,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarr
     edge[offsets] = True
     starts = np.flatnonzero(~space[:-1] & (np.append(True, space[:-2]) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
     ends = np.flatnonzero(~space[:-1] & (space[1:] | edge[1:])) + 1 if len(data) else starts
-    h = Rolling(data, RANDOMS).slices(starts, ends)
+    h = word_hashes(data, starts, ends)
     bounds = np.searchsorted(starts, offsets)
     factors = mix(np.arange(1, words + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
     padded = np.append(h, np.zeros(words, dtype=U64))
@@ -68,6 +68,24 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarr
     return out
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, by some words at a time where the text is long; very long words by a digest."""
+    if len(data) <= 4 * UNIT:
+        return Rolling(data, RANDOMS).slices(starts, ends)
+    out, first = np.empty(len(starts), dtype=U64), 0
+    while first < len(starts):
+        if ends[first] - starts[first] > 4 * UNIT:
+            digest = hashlib.blake2b(data[starts[first] : ends[first]].tobytes(), digest_size=8).digest()
+            out[first] = int.from_bytes(digest, "little") | 1
+            first += 1
+            continue
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + 4 * UNIT, side="right")))
+        a = int(starts[first])
+        out[first:last] = Rolling(data[a : ends[last - 1]], RANDOMS).slices(starts[first:last] - a, ends[first:last] - a)
+        first = last
+    return out
+
+
 def sketches(sets: list[np.ndarray], k: int) -> np.ndarray:
     """The k coordinates of each set (not empty), by fast similarity sketching."""
     out = np.full(len(sets) * k, ~U64(0), dtype=U64)
@@ -126,6 +144,7 @@ def full_sets(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(run, "id bigint, s array<bigint>")
 
 
+@cleaned
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents.
 
@@ -148,11 +167,10 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, rows: int
     bands_of = reps.select(F.col("doc_id").alias("id"), "bands")
     links = linked(members, bands_of, sets, percent, small)
     labels = components(links.union(copies))
+    dropped(classes, shared, members, sets)
     out = sketch.join(labels, sketch.doc_id == labels.id, "left")
     component = F.coalesce("component", "doc_id")
-    result = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
-    dropped(classes, shared, members, sets)
-    return result
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,6 +279,7 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.col("common") >= percent * F.col("either")).select("a", "b")
 
 
+@cleaned
 def deduplicated(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents but for near duplicates: of each group the one of the least id stays, once.
 

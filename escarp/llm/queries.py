@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, cover_tree, langid, minhash, packing, secrets, token_counts, token_files, toxicity, vptree
+from . import bpe_codec, cover_tree, langid, minhash, oracles, packing, secrets, token_counts, token_files, toxicity, vptree
 
 
 def tokenizer(name: str) -> str:
@@ -68,6 +68,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary, capacity=4096, end_id=1)
 
 
+def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2_secrets that SQL has: everything but the spans of the Markov models."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,8 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cover_tree, op2_secrets, op3_language, op4_bpe_codec, op5_vptree, op6_minhash, op7_toxicity, op8_token_counts, op9_token_files, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_cover_tree, op2_secrets, op3_language, op4_bpe_codec, op5_vptree, op6_minhash, op7_toxicity, op8_token_counts, op9_token_files, op10_packing, base_spans, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_cover_tree": oracles.OP1, "op5_vptree": oracles.OP5, "op6_minhash": oracles.OP6, "base_spans": oracles.BASE_SPANS}
