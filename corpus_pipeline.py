@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from escarp.llm import bpe_codec, langid, minhash, packing, secrets, toxicity
 from escarp.llm.queries import table, tokenizer
-from escarp.llm.store import written
+from escarp.llm.store import dropped, written
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's table goes once the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
