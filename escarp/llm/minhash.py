@@ -279,11 +279,10 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.col("common") >= percent * F.col("either")).select("a", "b")
 
 
-@cleaned
 def deduplicated(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents but for near duplicates: of each group the one of the least id stays, once.
 
-    Rows whose id is null all stay."""
+    Rows whose id is null all stay.  The result is not written; it reads tables of ids that stay in the shared folder."""
     found = written(near_duplicates(df, words, percent, id_col=id_col, text_col=text_col).where("kept or component_id is null").select("doc_id"), "kept")
     again = written(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     key = found.select(F.col("doc_id").alias("_kept")).distinct()
