@@ -189,8 +189,9 @@ def similar_pairs(protos: DataFrame, threshold: float) -> DataFrame:
     wide = side(empty, "_a").withColumn("node", F.explode(F.sequence(band(F.col("start_lat_a") - spread_of("_a")), band(F.col("start_lat_a") + spread_of("_a")))))
     alike = wide.join(side(empty, "_b").withColumn("node", band(F.col("start_lat_b"))), "node").where("id_a <> id_b").drop("node")
     lone = close(alike).withColumn("similarity", F.lit(1.0))
-    ways = F.array(F.struct(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("reach_a").alias("r")), F.struct(F.col("id_b").alias("a"), F.col("id_a").alias("b"), F.col("reach_b").alias("r")))
-    turned = both.select("far", "similarity", F.explode(ways).alias("w")).where(F.col("far") <= F.col("w.r")).select("w.a", "w.b", "similarity")
+    way = lambda x, y, far: F.struct(F.col("id" + x).alias("a"), F.col("id" + y).alias("b"), (F.col(far) <= F.col("reach" + x)).alias("near"))
+    ways = F.explode(F.array(way("_a", "_b", "far"), way("_b", "_a", "back"))).alias("w")
+    turned = both.select("similarity", ways).where("w.near").select("w.a", "w.b", "similarity")
     return turned.union(lone.where(F.col("far") <= F.col("reach_a")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity"))
 
 
@@ -200,10 +201,12 @@ def spread_of(x: str) -> Column:
 
 
 def close(pairs: DataFrame) -> DataFrame:
-    """Pairs (id_a, start_lat_a, ..., reach_b) of which one start is within the other's reach, with `far` in metres."""
+    """Pairs (id_a, start_lat_a, ..., reach_b) of which one start is within the other's reach, with the metres there
+    and back, `far` and `back`: they may differ in the last digit, and a climb may well begin where another ends."""
     box = F.abs(F.col("start_lat_a") - F.col("start_lat_b")) <= F.greatest(spread_of("_a"), spread_of("_b"))
-    far = distance(F.col("start_lat_a"), F.col("start_lng_a"), F.col("start_lat_b"), F.col("start_lng_b"))
-    return pairs.where(box).withColumn("far", far).where(F.col("far") <= F.greatest("reach_a", "reach_b"))
+    metres = lambda x, y: distance(*(F.col(f"start_{c}{z}") for z in (x, y) for c in ("lat", "lng")))
+    both = pairs.where(box).withColumn("far", metres("_a", "_b")).withColumn("back", metres("_b", "_a"))
+    return both.where((F.col("far") <= F.col("reach_a")) | (F.col("back") <= F.col("reach_b")))
 
 
 #: With at most so many pairs undecided, one task decides them in order.

@@ -382,7 +382,8 @@ def score_climbs(spark, sf):
 def polyline_roundtrip(spark, sf):
     at = C.places(X.ways(spark, sf).select("id", "nodes"), X.nodes(spark, sf), ["lat", "lng"])
     rows = at.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lng"))).alias("p"))
-    points = rows.select("id", T.polyline_points(T.polyline(F.col("p.lat"), F.col("p.lng"))).alias("q"))
+    lines = written(rows.select("id", T.polyline(F.col("p.lat"), F.col("p.lng")).alias("line")), "lines")
+    points = lines.select("id", T.polyline_points("line").alias("q"))
     whole = lambda c: F.array_join(F.transform("q", lambda x: F.round(x[c] * 100000).cast("bigint").cast("string")), ",")
     return points.select("id", whole("lat").alias("lat"), whole("lng").alias("lng"))
 
