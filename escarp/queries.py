@@ -261,12 +261,17 @@ def detect_climbs(spark, sf):
     return per_series(spark, sf, f, "a bigint, b bigint")
 
 
-@query(
-    f"{X.with_views('point')}, {GRID}, gs AS (SELECT *, total / (n - 1) AS step FROM grid), gt AS (SELECT *, greatest(1, CAST(round_even(100e0 / step, 0) AS BIGINT)) AS span, greatest(1, CAST(round_even(250e0 / step, 0) AS BIGINT)) AS win FROM gs), "
-    "gg AS (SELECT a.user_id, a.k, a.n - a.span AS m, a.win, (b.e - a.e) / (a.span * a.step) AS g FROM gt a JOIN gt b ON b.user_id = a.user_id AND b.k = a.k + a.span), "
-    "gw AS (SELECT user_id, k, m, g, unnest(range(k - win // 2, k - win // 2 + win)) AS j FROM gg), gm AS (SELECT w.user_id, w.k, w.g, avg(o.g) AS mean FROM gw w JOIN gg o ON o.user_id = w.user_id AND o.k = greatest(0, least(w.j, w.m - 1)) GROUP BY w.user_id, w.k, w.g) "
-    "SELECT s.user_id, round(coalesce(sum(least(greatest(abs(g - mean) - 0.07e0, 0e0), 0.15e0)), 0), 6) AS penalty FROM (SELECT DISTINCT user_id FROM point) s LEFT JOIN gm USING (user_id) GROUP BY s.user_id"
-)
+def sql_spikes(key: str, every: str) -> str:
+    """(key, penalty) of all keys, from an even grid (key, k, n, total, e)."""
+    return (
+        f"gs AS (SELECT *, total / (n - 1) AS step FROM grid), gt AS (SELECT *, greatest(1, CAST(round_even(100e0 / step, 0) AS BIGINT)) AS span, greatest(1, CAST(round_even(250e0 / step, 0) AS BIGINT)) AS win FROM gs), "
+        f"gg AS (SELECT a.{key}, a.k, a.n - a.span AS m, a.win, (b.e - a.e) / (a.span * a.step) AS g FROM gt a JOIN gt b ON b.{key} = a.{key} AND b.k = a.k + a.span), "
+        f"gw AS (SELECT {key}, k, m, g, unnest(range(k - win // 2, k - win // 2 + win)) AS j FROM gg), gm AS (SELECT w.{key}, w.k, w.g, avg(o.g) AS mean FROM gw w JOIN gg o ON o.{key} = w.{key} AND o.k = greatest(0, least(w.j, w.m - 1)) GROUP BY w.{key}, w.k, w.g), "
+        f"spike AS (SELECT s.{key}, coalesce(sum(least(greatest(abs(g - mean) - 0.07e0, 0e0), 0.15e0)), 0) AS penalty FROM ({every}) s LEFT JOIN gm USING ({key}) GROUP BY s.{key})"
+    )
+
+
+@query(f"{X.with_views('point')}, {GRID}, {sql_spikes('user_id', 'SELECT DISTINCT user_id FROM point')} SELECT user_id, round(penalty, 6) AS penalty FROM spike")
 def spike_penalty(spark, sf):
     return per_series(spark, sf, lambda d, e: {"penalty": [S.spike_penalty(d, e)]}, "penalty double").withColumn("penalty", F.round("penalty", 6))
 
@@ -350,9 +355,13 @@ def crossings(spark, sf):
     return score.crossings(ways.select(F.col("id").cast("string").alias("id"), "nodes", F.array("id").alias("osm_way_ids")), graph.with_degrees(X.nodes(spark, sf), ways), ways)
 
 
+FULL = f"{CROSS}, full_ AS (SELECT s.*, n.is_signal, CAST(n.elevation AS DOUBLE) AS e, d.degree, CASE WHEN d.degree > 2 THEN coalesce(c.rank, 0) ELSE 0 END AS rank FROM seg s JOIN node n ON n.id = s.node_id JOIN deg d ON d.node_id = s.node_id LEFT JOIN cross_ c ON c.id = s.id AND c.node_id = s.node_id)"
+TURNS = "coalesce(sum(CASE WHEN degree > 2 AND turn >= 20 THEN turn * 0.2e0 END), 0)"
+
+
 @query(
-    f"{PROTO}, {CROSS}, full_ AS (SELECT s.*, n.is_signal, d.degree, CASE WHEN d.degree > 2 THEN coalesce(c.rank, 0) ELSE 0 END AS rank FROM seg s JOIN node n ON n.id = s.node_id JOIN deg d ON d.node_id = s.node_id LEFT JOIN cross_ c ON c.id = s.id AND c.node_id = s.node_id) "
-    "SELECT CAST(id AS VARCHAR) AS id, count(CASE WHEN is_signal THEN 1 END) AS n_signals, 50e0 * count(CASE WHEN is_signal THEN 1 END) AS signal_penalty, count(CASE WHEN rank > 0 THEN 1 END) AS n_intersections, 6e0 * CAST(sum(rank) AS DOUBLE) AS intersection_penalty, count(CASE WHEN degree > 2 AND turn >= 20 THEN 1 END) AS n_sharp_turns, round(coalesce(sum(CASE WHEN degree > 2 AND turn >= 20 THEN turn * 0.2e0 END), 0), 3) AS turn_penalty FROM full_ GROUP BY id"
+    f"{PROTO}, {FULL} SELECT CAST(id AS VARCHAR) AS id, count(CASE WHEN is_signal THEN 1 END) AS n_signals, 50e0 * count(CASE WHEN is_signal THEN 1 END) AS signal_penalty, count(CASE WHEN rank > 0 THEN 1 END) AS n_intersections, 6e0 * CAST(sum(rank) AS DOUBLE) AS intersection_penalty, "
+    f"count(CASE WHEN degree > 2 AND turn >= 20 THEN 1 END) AS n_sharp_turns, round({TURNS}, 3) AS turn_penalty FROM full_ GROUP BY id"
 )
 def score_breakdown(spark, sf):
     ways = X.ways(spark, sf)
@@ -372,6 +381,19 @@ def way_facts(spark, sf):
     return score.way_facts(trips, X.ways(spark, sf)).select("id", "name", text("surfaces").alias("surfaces"), "is_paved", "bidirectional")
 
 
+@query(
+    f"{PROTO}, {FULL}, prof AS (SELECT id, cum, e, total, lead(cum) OVER w AS cum2, lead(e) OVER w AS e2 FROM full_ WINDOW w AS (PARTITION BY id ORDER BY pos)), size_ AS (SELECT id, max(total) AS total, greatest(3, CAST(floor(max(total) / 30e0) AS BIGINT)) AS n FROM prof GROUP BY id HAVING max(total) >= 60), place_ AS (SELECT *, total * k / (n - 1) AS x FROM (SELECT *, unnest(range(n)) AS k FROM size_)), "
+    "grid AS (SELECT g.id, g.k, g.n, g.total, CASE WHEN p.cum2 > p.cum THEN p.e + (p.e2 - p.e) * (g.x - p.cum) / (p.cum2 - p.cum) ELSE p.e END AS e FROM place_ g ASOF JOIN prof p ON p.id = g.id AND g.x >= p.cum), "
+    f"{sql_spikes('id', 'SELECT DISTINCT id FROM prof')}, part_ AS (SELECT id, max(total) AS total, arg_min(e, pos) AS e0, arg_max(e, pos) AS e1, count(*) AS n, 50e0 * count(CASE WHEN is_signal THEN 1 END) + 6e0 * CAST(sum(rank) AS DOUBLE) + {TURNS} AS score FROM full_ GROUP BY id) "
+    "SELECT p.id, coalesce(w.name, '') AS name, coalesce(w.surface, '') AS surfaces, CASE WHEN w.surface IS NULL THEN w.highway <> 'track' ELSE w.surface <> 'gravel' END AS is_paved, w.bidirectional, round(CASE WHEN p.total > 0 THEN 100 * (p.e1 - p.e0) / p.total ELSE 0 END, 5) AS average_grade, round(p.score + s.penalty, 3) AS score, CAST(CASE WHEN p.total < 40 THEN p.n ELSE greatest(3, floor(p.total / 20e0)) END AS INT) AS n_profile FROM part_ p JOIN spike s ON s.id = p.id JOIN way w ON w.id = p.id"
+)
+def score_columns(spark, sf):
+    """The final table but for polylines, profiles' values and places; a stand-in climb has one way, whose id it takes."""
+    ways = X.ways(spark, sf)
+    rows = score.scored(X.protos(spark, sf), graph.with_degrees(X.nodes(spark, sf), ways), ways, "stand_in")
+    return rows.select(F.element_at("osm_way_ids", 1).alias("id"), "name", text("surfaces").alias("surfaces"), "is_paved", "bidirectional", F.round("average_grade", 5).alias("average_grade"), F.round("score", 3).alias("score"), F.size("elevation_profile").alias("n_profile"))
+
+
 @query()
 def score_climbs(spark, sf):
     ways = X.ways(spark, sf)
