@@ -52,7 +52,25 @@ def raw_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways(spark, sf_dir).select("id", "nodes", tags.alias("tags"))
 
 
-def protos(spark: SparkSession, sf_dir: str) -> DataFrame:
+CORNER = "l_partkey * 20 + l_suppkey % 20"
+
+
+def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One node for each part and twentieth of the suppliers that some line has: a network in which, unlike the one of
+    parts, few nodes are junctions."""
+    lines = table(spark, sf_dir, "lineitem")
+    lat = spread("l_partkey", 7919, 10007, 44.0, 0.02) + (F.col("l_suppkey") % 20).cast("double") * 0.0001
+    return lines.select(F.expr(CORNER).alias("id"), lat.alias("lat"), spread("l_partkey", 104729, 10009, 20.0, 0.02).alias("lng")).distinct()
+
+
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One way through corners for each order of at least two lines."""
+    at = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.expr(CORNER).alias("node"))))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(at.alias("x")).where(F.size("x") >= 2)
+    return lines.select("id", F.col("x.node").alias("nodes"))
+
+
+def protos(spark: SparkSession, sf_dir: str, nodes=nodes, ways=ways) -> DataFrame:
     """Ways as detected climbs; ids are strings."""
     from .functions.text import nodes_hash
     from .operators.climbs import places, segments
@@ -99,14 +117,19 @@ SQL = {
     "point": "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, CAST(value AS DOUBLE) AS e FROM events",
 }
 NEEDS = {"place": ["way"], "degree": ["way", "place"]}
+#: The network of corners and streets.
+STREETS = {
+    "node": f"SELECT DISTINCT {CORNER} AS id, {sql_spread('l_partkey', 7919, 10007, 44.0, 0.02)} + CAST(l_suppkey % 20 AS DOUBLE) * 0.0001e0 AS lat, {sql_spread('l_partkey', 104729, 10009, 20.0, 0.02)} AS lng FROM lineitem",
+    "way": f"SELECT l_orderkey AS id, list({CORNER} ORDER BY l_linenumber, l_partkey, {CORNER}) AS nodes FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2",
+}
 
 
-def with_views(*names: str) -> str:
+def with_views(*names: str, instead: dict[str, str] = {}) -> str:  # noqa: B006
     """The WITH clause's views, those that they need first."""
     order: list[str] = []
     for n in names:
         order += [x for x in [*NEEDS.get(n, []), n] if x not in order]
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n]})" for n in order)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({instead.get(n, SQL[n])})" for n in order)
 
 
 def sql_geodesic(source: str, out: str, keep: str, rounds: int = 8) -> str:

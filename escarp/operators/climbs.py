@@ -131,14 +131,13 @@ def hops(protos: DataFrame, nodes: DataFrame, of: DataFrame | None = None) -> Da
 
 
 @cleaned
-def combined(protos: DataFrame, nodes: DataFrame, max_combo: int = 4, seeds: Column | None = None) -> DataFrame:
+def combined(protos: DataFrame, nodes: DataFrame, max_combo: int = 4) -> DataFrame:
     """New proto_climbs along every path of 2 to max_combo climbs that hop at junctions, each place after the last.
 
     Each level joins the paths of the one before with all hops.  Of paths with one node set, and beside a base climb
     with it, one stays: the base climb, else the path of the least list of ids."""
     parts = protos.where("from_climbs is null").select("id", "nodes", "osm_way_ids")
-    start = parts if seeds is None else parts.where(seeds)
-    level = start.select(F.array("id").alias("path"), F.lit(-1).alias("entry"), F.array().cast("array<bigint>").alias("head"), F.array().cast("array<bigint>").alias("ways"), F.col("id").alias("a"), F.col("nodes").alias("own"), F.col("osm_way_ids").alias("own_ways"))
+    level = parts.select(F.array("id").alias("path"), F.lit(-1).alias("entry"), F.array().cast("array<bigint>").alias("head"), F.array().cast("array<bigint>").alias("ways"), F.col("id").alias("a"), F.col("nodes").alias("own"), F.col("osm_way_ids").alias("own_ways"))
     out = None
     other = parts.select(F.col("id").alias("b"), F.col("nodes").alias("nodes_b"), F.col("osm_way_ids").alias("ways_b"))
     for _ in range(max_combo - 1):

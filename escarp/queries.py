@@ -51,21 +51,11 @@ def way_filter(spark, sf):
     return rows.select("id", "name", "highway", "surface", text("nodes").alias("nodes"), "bidirectional", F.size("tags").cast("bigint").alias("n_tags"))
 
 
-@query(f"{X.with_views('node', 'way')} SELECT id, lat, lng, is_signal FROM node n WHERE EXISTS (SELECT 1 FROM (SELECT unnest(nodes) AS x FROM way WHERE id % 10 = 0) WHERE x = n.id)")
-def referenced_nodes_of_some(spark, sf):
-    """The nodes of one way in ten, which is what the SQL has."""
-    return referenced(spark, sf, X.ways(spark, sf).where("id % 10 = 0"))
-
-
-def referenced(spark, sf, ways) -> DataFrame:
+@query(f"{X.with_views('node', 'way')} SELECT id, lat, lng, is_signal FROM node n WHERE EXISTS (SELECT 1 FROM (SELECT unnest(nodes) AS x FROM way) WHERE x = n.id)")
+def referenced_nodes(spark, sf):
     signal = F.when(F.col("is_signal"), F.create_map(F.lit("highway"), F.lit("traffic_signals"))).otherwise(F.create_map().cast("map<string,string>"))
     raw = X.nodes(spark, sf).withColumn("tags", signal)
-    return loading.referenced_nodes(raw, ways).select("id", "lat", "lng", "is_signal")
-
-
-@query()
-def referenced_nodes(spark, sf):
-    return referenced(spark, sf, X.ways(spark, sf))
+    return loading.referenced_nodes(raw, X.ways(spark, sf)).select("id", "lat", "lng", "is_signal")
 
 
 @query(f"{X.with_views('node')} SELECT id, CAST(CASE WHEN id % 3 = 0 THEN elevation WHEN (CAST(floor((44.03e0 - lat) / 0.001e0) AS BIGINT) * 31 + CAST(floor((lng - 20e0) / 0.001e0) AS BIGINT)) % 9 <> 0 THEN (CAST(floor((44.03e0 - lat) / 0.001e0) AS BIGINT) * 31 + CAST(floor((lng - 20e0) / 0.001e0) AS BIGINT)) % 9 END AS DOUBLE) AS elevation FROM node")
@@ -153,7 +143,13 @@ def nodes_hash(spark, sf):
     return X.ways(spark, sf).select("id", T.nodes_hash(F.col("nodes")).alias("nodes_hash"))
 
 
+def sql_protos(instead: dict[str, str] = {}) -> str:  # noqa: B006
+    views = f"{X.with_views('node', 'place', instead=instead)}, {X.sql_segments('place', 'seg')}"
+    return f"{views}, proto AS (SELECT CAST(w.id AS VARCHAR) AS id, w.nodes, md5(array_to_string(list_sort(w.nodes), ',')) AS nodes_hash, s.lat AS start_lat, s.lng AS start_lng, s.total AS distance FROM way w JOIN seg s ON s.id = w.id AND s.pos = 0), deg AS (SELECT node_id, count(*) AS degree FROM place GROUP BY node_id)"
+
+
 SEGMENTS = f"{X.with_views('node', 'place')}, {X.sql_segments('place', 'seg')}"
+PROTO = sql_protos()
 
 
 @query(f"{SEGMENTS} SELECT id, pos, round(step, 2) AS step, round(cum, 2) AS cum, round(turn, 3) AS turn FROM seg")
@@ -172,9 +168,6 @@ def strip_ends(spark, sf):
     return C.strip_slices(X.ways(spark, sf).select("id", "nodes"), X.nodes(spark, sf), 800.0, 45.0).select("id", "first", "last", "n")
 
 
-PROTO = f"{SEGMENTS}, proto AS (SELECT CAST(w.id AS VARCHAR) AS id, w.nodes, md5(array_to_string(list_sort(w.nodes), ',')) AS nodes_hash, s.lat AS start_lat, s.lng AS start_lng, s.total AS distance FROM way w JOIN seg s ON s.id = w.id AND s.pos = 0), deg AS (SELECT node_id, count(*) AS degree FROM place GROUP BY node_id)"
-
-
 @query(
     f"{PROTO}, {STRIP}, cut AS (SELECT id, f, l FROM slice0 WHERE n >= 3 AND l - f >= 2 AND (f > 0 OR l < n)), new_ AS (SELECT CAST(c.id AS VARCHAR) AS id, w.nodes[c.f + 1:c.l] AS nodes, md5(array_to_string(list_sort(w.nodes[c.f + 1:c.l]), ',')) AS h FROM cut c JOIN way w ON w.id = c.id), "
     "won AS (SELECT min(n.id) AS id FROM new_ n WHERE n.h NOT IN (SELECT nodes_hash FROM proto) GROUP BY n.h UNION ALL SELECT n.id FROM new_ n JOIN proto p ON p.id = n.id AND p.nodes_hash = n.h), long_ AS (SELECT CAST(s.id AS VARCHAR) AS id, sum(s.step) AS metres FROM seg s JOIN cut c ON c.id = s.id WHERE s.pos > c.f AND s.pos < c.l GROUP BY s.id) "
@@ -288,37 +281,46 @@ def savgol_profile(spark, sf):
 
 # --- combination, similarity, scores
 
-HOPS = f"at_ AS (SELECT CAST(p.id AS VARCHAR) AS id, p.pos, p.node_id FROM place p JOIN deg d ON d.node_id = p.node_id AND d.degree > 2), entry_ AS (SELECT id, node_id, min(pos) AS j FROM at_ GROUP BY id, node_id), hop0 AS (SELECT a.id AS a, a.pos AS i, b.id AS b, b.j, pa.start_lat AS lat1, pa.start_lng AS lng1, pb.start_lat AS lat2, pb.start_lng AS lng2, pa.distance AS reach FROM at_ a JOIN entry_ b ON b.node_id = a.node_id AND b.id <> a.id JOIN proto pa ON pa.id = a.id JOIN proto pb ON pb.id = b.id WHERE b.j < len(pb.nodes) - 1 AND CAST(a.id AS BIGINT) % 50 = 0), {X.sql_geodesic('hop0', 'hop1', 'a, i, b, j, reach')}, hop AS (SELECT * FROM hop1 WHERE metres <= reach)"
+HOPS = f"at_ AS (SELECT CAST(p.id AS VARCHAR) AS id, p.pos, p.node_id FROM place p JOIN deg d ON d.node_id = p.node_id AND d.degree > 2), entry_ AS (SELECT id, node_id, min(pos) AS j FROM at_ GROUP BY id, node_id), hop0 AS (SELECT a.id AS a, a.pos AS i, b.id AS b, b.j, pa.start_lat AS lat1, pa.start_lng AS lng1, pb.start_lat AS lat2, pb.start_lng AS lng2, pa.distance AS reach FROM at_ a JOIN entry_ b ON b.node_id = a.node_id AND b.id <> a.id JOIN proto pa ON pa.id = a.id JOIN proto pb ON pb.id = b.id WHERE b.j < len(pb.nodes) - 1), {X.sql_geodesic('hop0', 'hop1', 'a, i, b, j, reach')}, hop AS (SELECT * FROM hop1 WHERE metres <= reach)"
 
 
-@query(
-    f"{PROTO}, {HOPS}, pair_ AS (SELECT [h.a, h.b] AS path, list_concat(pa.nodes[1:h.i + 1], pb.nodes[h.j + 2:]) AS nodes FROM hop h JOIN proto pa ON pa.id = h.a JOIN proto pb ON pb.id = h.b), hashed AS (SELECT *, md5(array_to_string(list_sort(nodes), ',')) AS nodes_hash FROM pair_), "
-    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nodes_hash ORDER BY path, nodes) AS r FROM hashed) WHERE r = 1 AND len(list_distinct(nodes)) > 1 AND nodes_hash NOT IN (SELECT nodes_hash FROM proto)) SELECT array_to_string(path, ',') AS path, array_to_string(nodes, ',') AS nodes, nodes_hash FROM best"
-)
-def combine_2_seeded(spark, sf):
-    """The paths from one climb in fifty, which is what the SQL has."""
-    return paths_2(spark, sf, F.col("id").cast("bigint") % 50 == 0)
+def sql_paths(most: int) -> str:
+    """The new climbs along paths of 2 to `most` climbs."""
+    levels = "level1 AS (SELECT [id] AS path, -1 AS entry, []::BIGINT[] AS head FROM proto)"
+    for k in range(2, most + 1):
+        levels += f", level{k} AS (SELECT list_append(l.path, h.b) AS path, h.j AS entry, list_concat(l.head, p.nodes[l.entry + 2:h.i + 1]) AS head FROM level{k - 1} l JOIN proto p ON p.id = l.path[-1] JOIN hop h ON h.a = l.path[-1] AND h.i > l.entry AND NOT list_contains(l.path, h.b))"
+    every = " UNION ALL ".join(f"SELECT * FROM level{k}" for k in range(2, most + 1))
+    return (
+        f"{sql_protos(X.STREETS)}, {HOPS}, {levels}, whole_ AS (SELECT l.path, list_concat(l.head, p.nodes[l.entry + 2:]) AS nodes FROM ({every}) l JOIN proto p ON p.id = l.path[-1]), hashed AS (SELECT *, md5(array_to_string(list_sort(nodes), ',')) AS nodes_hash FROM whole_), "
+        "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nodes_hash ORDER BY path, nodes) AS r FROM hashed) WHERE r = 1 AND len(list_distinct(nodes)) > 1 AND nodes_hash NOT IN (SELECT nodes_hash FROM proto)) SELECT array_to_string(path, ',') AS path, array_to_string(nodes, ',') AS nodes, nodes_hash FROM best"
+    )
 
 
 def combinable(spark, sf) -> tuple[DataFrame, DataFrame]:
-    nodes = graph.with_degrees(X.nodes(spark, sf), X.ways(spark, sf))
-    return written(X.protos(spark, sf), "protos"), written(nodes, "nodes")
+    ways = X.streets(spark, sf)
+    nodes = graph.with_degrees(X.corners(spark, sf), ways)
+    return written(X.protos(spark, sf, X.corners, X.streets), "protos"), written(nodes, "nodes")
 
 
-def paths_2(spark, sf, seeds=None) -> DataFrame:
-    found = C.combined(*combinable(spark, sf), 2, seeds)
+def paths(spark, sf, most: int) -> DataFrame:
+    found = C.combined(*combinable(spark, sf), most)
     return found.select(F.array_join("from_climbs", ",").alias("path"), text("nodes").alias("nodes"), "nodes_hash")
 
 
-@query()
+@query(sql_paths(2))
 def combine_2(spark, sf):
-    return paths_2(spark, sf)
+    return paths(spark, sf, 2)
 
 
-@query()
+@query(sql_paths(3))
 def combine_3(spark, sf):
-    found = C.combined(*combinable(spark, sf), 3)
-    return found.select(F.array_join("from_climbs", ",").alias("path"), "nodes_hash", F.round("distance", 2).alias("distance"))
+    return paths(spark, sf, 3)
+
+
+@query(sql_paths(4))
+def combine_4(spark, sf):
+    """At the default depth."""
+    return paths(spark, sf, 4)
 
 
 SIMILAR = (
