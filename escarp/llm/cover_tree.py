@@ -128,12 +128,12 @@ def pivots_of(rows: DataFrame, counts: dict, block: int, sample: int) -> dict:
     share = min(1.0, sample / sum(counts.values()))
     picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     names = rows.sparkSession.createDataFrame([(*k,) for k in counts], "label string, dim int")
-    by: dict = {}
-    for r in picked.join(F.broadcast(names), ["label", "dim"]).select("label", "dim", "vec_id", "unit").orderBy("vec_id").limit(2 * sample).collect():
-        by.setdefault((r["label"], r["dim"]), []).append(r["unit"])
-    out = {}
-    for key, units in by.items():
-        x = np.array(units)
+    sampled = picked.join(F.broadcast(names), ["label", "dim"]).select("label", "dim", "vec_id", "unit").orderBy("vec_id").limit(2 * sample).toArrow()
+    by, out = {}, {}
+    for i, key in enumerate(zip(sampled.column("label").to_pylist(), sampled.column("dim").to_pylist(), strict=True)):
+        by.setdefault(key, []).append(i)
+    for key, at in by.items():
+        x = matrix(sampled.column("unit").take(pa.array(at)))
         chosen, least = [0], distances(x[:1], x)[0]
         while len(chosen) < min(len(x), -(-counts[key] // block)) and least.max() > 0:
             chosen.append(int(least.argmax()))

@@ -182,10 +182,11 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0,
     square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     n, largest = rows.agg(F.count("*"), F.max(square)).first()
     share = min(1.0, sample / max(1, n))
-    picked: dict[int, list] = {}
-    for r in rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("vec_id").limit(2 * sample).collect():  # the sample
-        picked.setdefault(r["dim"], []).append(r["x"])
-    made = {dim: Shards(np.array(x), largest, max(1, int(len(x) / share) // shard)) for dim, x in picked.items()}
+    picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("vec_id").limit(2 * sample).toArrow()  # the sample
+    dims, made = picked.column("dim").to_numpy(), {}
+    for dim in np.unique(dims).tolist():
+        x = matrix(picked.column("x").take(pa.array(np.flatnonzero(dims == dim))))
+        made[dim] = Shards(x, largest, max(1, int(len(x) / share) // shard))
     shards = spark.sparkContext.broadcast(made)  # bounded by the sample
 
     def place(batches, asks: bool):
