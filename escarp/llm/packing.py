@@ -139,7 +139,7 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: f
     groups = best_fit(groups, left, capacity)
     if sequences(plain) < sequences(groups):
         groups = plain
-    return groups, max(1, int(np.ceil(bound - 1e-6)))
+    return groups, max(1, int(np.ceil(bound * (1 - 1e-9) - 1e-6)))
 
 
 def sequences(groups: list[tuple[int, list[int]]]) -> int:
