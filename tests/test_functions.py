@@ -131,3 +131,13 @@ def test_intermediate_tables_go(spark, tmp_path):
     with pytest.raises(AnalysisException):
         components(spark.createDataFrame([(1,)], "a bigint"))
     assert len(set(os.listdir(folder)) - before) == 1
+
+
+def test_shown_numbers_are_rounded_by_their_exact_value(spark):
+    rng = random.Random(3)
+    numbers = [3.175, 3.165, 0.125, 0.375, 2.675, 1.005, 0.05, 0.15, 0.25, 0.35, -0.125, -2.675, -0.001, 0.0, 1e-300, 5e15, 123456789.125, 8.5, 8.45]
+    numbers += [k / 1000 for k in range(5, 9000, 10)] + [rng.randrange(10**7) / 1000 for _ in range(500)] + [rng.random() * 10.0 ** rng.randrange(-5, 9) for _ in range(500)]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", T.fixed(F.col("x"), 2, "%s km").alias("a"), T.fixed(F.col("x"), 1, "%s%%").alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(f"{r['x']:.2f} km", f"{r['x']:.1f}%") for r in rows]
+    one = spark.createDataFrame([(3175.0, None)], "m double, g double").select(T.kilometres(F.col("m")), T.percent(F.col("g"))).first()
+    assert tuple(one) == ("3.17 km", None)
