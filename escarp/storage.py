@@ -37,7 +37,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The frame written as Parquet to the shared folder and read again: it survives lost executors and is not
     computed twice.  `dropped` removes it, or the end of the `cleaned` function that wrote it."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._escarp_path = path
     return out
