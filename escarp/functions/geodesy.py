@@ -59,23 +59,48 @@ def within(lat: Column, lng: Column, lat0: float, lng0: float, metres: float) ->
 # --- numpy
 
 
+def on_sphere(s1, c1, s2, c2, lam) -> tuple[np.ndarray, ...]:
+    """What a round knows of points some longitude apart on the auxiliary sphere."""
+    sl, cl = np.sin(lam), np.cos(lam)
+    x, y = c2 * sl, c1 * s2 - s1 * c2 * cl
+    sin, cos = np.hypot(x, y), s1 * s2 + c1 * c2 * cl
+    alpha = np.where(sin == 0, 0.0, c1 * c2 * sl / sin)
+    cos2 = 1 - alpha * alpha
+    return x, y, sin, cos, np.arctan2(sin, cos), alpha, cos2, np.where(cos2 == 0, 0.0, cos - 2 * s1 * s2 / cos2)
+
+
+def longitudes(s1, c1, s2, c2, l) -> np.ndarray:  # noqa: E741
+    """Differences of longitude on the auxiliary sphere after ROUNDS rounds; those that a round leaves as they are, which
+    no later one would change, take no part in the next."""
+    parts = [np.array(v, dtype=float) for v in np.broadcast_arrays(s1, c1, s2, c2, l)]
+    out = parts[4].copy()
+    lam, at, shape = out.ravel(), None, out.shape
+    s1, c1, s2, c2, l = (v.ravel() for v in parts)  # noqa: E741
+    now = lam.copy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(ROUNDS):
+            _, _, sin, cos, sigma, alpha, cos2, mid = on_sphere(s1, c1, s2, c2, now)
+            c = FLAT / 16 * cos2 * (4 + FLAT * (4 - 3 * cos2))
+            new = l + (1 - c) * FLAT * alpha * (sigma + c * sin * (mid + c * cos * (-1 + 2 * mid * mid)))
+            go = (new != now) & ~np.isnan(new)
+            if at is None:
+                at, lam = np.flatnonzero(go), new.copy()
+            else:
+                lam[at], at = new, at[go]
+            if not at.size:
+                break
+            s1, c1, s2, c2, l, now = (v[go] for v in (s1, c1, s2, c2, l, new))  # noqa: E741
+    return lam.reshape(shape)
+
+
 def inverse_np(lat1, lng1, lat2, lng2) -> tuple[np.ndarray, np.ndarray]:
     """(metres, azimuth in degrees) of arrays of points."""
     u1, u2 = (np.arctan((1 - FLAT) * np.tan(np.radians(x))) for x in (lat1, lat2))
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
-    l = lam = np.radians(np.asarray(lng2) - np.asarray(lng1))  # noqa: E741
+    l = np.radians(np.asarray(lng2) - np.asarray(lng1))  # noqa: E741
+    lam = longitudes(s1, c1, s2, c2, l)
     with np.errstate(divide="ignore", invalid="ignore"):
-        for last in range(ROUNDS + 1):
-            x, y = c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam)
-            sin, cos = np.hypot(x, y), s1 * s2 + c1 * c2 * np.cos(lam)
-            sigma = np.arctan2(sin, cos)
-            alpha = np.where(sin == 0, 0.0, c1 * c2 * np.sin(lam) / sin)
-            cos2 = 1 - alpha * alpha
-            mid = np.where(cos2 == 0, 0.0, cos - 2 * s1 * s2 / cos2)
-            if last == ROUNDS:
-                break
-            c = FLAT / 16 * cos2 * (4 + FLAT * (4 - 3 * cos2))
-            lam = l + (1 - c) * FLAT * alpha * (sigma + c * sin * (mid + c * cos * (-1 + 2 * mid * mid)))
+        x, y, sin, cos, sigma, _, cos2, mid = on_sphere(s1, c1, s2, c2, lam)
     q = cos2 * (A * A - B * B) / (B * B)
     big = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
     small = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
