@@ -10,9 +10,12 @@ from collections.abc import Callable
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The folders of the `cleaned` calls that run, the innermost last.
 _folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
+#: Slices that a table is written in at most.
+MOST_SLICES = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,8 +50,32 @@ def alone(df: DataFrame, label: str) -> DataFrame:
     """`written`, after which the shuffle files of its making go: Spark keeps them until the driver happens to collect
     its garbage, so that those of one step would lie beside those of the next."""
     out = written(df, label)
+    settle(df.sparkSession)
+    return out
+
+
+def settle(spark: SparkSession) -> None:
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+
+
+def sliced(df: DataFrame, label: str, key: str, n: int) -> list[DataFrame]:
+    """The frame written `alone` in some n slices by a hash of a column, each read by itself and to be `dropped` by itself,
+    so that what follows can be done for one slice after another."""
+    n = max(1, min(n, MOST_SLICES))
+    if n == 1:
+        return [alone(df, label)]
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).write.option("compression", "zstd").partitionBy("_slice").parquet(path)
+    settle(spark)
+    out = []
+    for k in range(n):
+        if exists(spark, f"{path}/_slice={k}"):
+            out.append(spark.read.schema(df.schema).parquet(f"{path}/_slice={k}"))
+            out[-1]._escarp_path = f"{path}/_slice={k}"
+    if not out:
+        out.append(spark.createDataFrame([], df.schema))
+        out[-1]._escarp_path = path
     return out
 
 
