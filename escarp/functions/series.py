@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from .geodesy import cumulative_np, direct_np, inverse_np
@@ -115,13 +117,19 @@ def spike_penalty(cum: np.ndarray, elev: np.ndarray) -> float:
     return float(np.clip(stray - SPIKE_FLOOR, 0.0, SPIKE_CAP).sum())
 
 
+@lru_cache(maxsize=256)
+def polynomials(window: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of the least-squares polynomial's coefficients, powers of the places) of an odd window."""
+    half = window // 2
+    powers = np.vander(np.arange(-half, half + 1), order + 1, increasing=True)
+    return np.linalg.pinv(powers), powers
+
+
 def savgol(x: np.ndarray, window: int, order: int) -> np.ndarray:
     """Least-squares polynomials over an odd window; the ends take the first and last window's polynomial."""
     half = window // 2
-    place = np.arange(-half, half + 1)
-    fit = np.linalg.pinv(np.vander(place, order + 1, increasing=True))
+    fit, powers = polynomials(window, order)
     out = np.convolve(x, fit[0][::-1], mode="same")
-    powers = np.vander(place, order + 1, increasing=True)
     out[:half] = (powers @ (fit @ x[:window]))[:half]
     out[-half:] = (powers @ (fit @ x[-window:]))[-half:]
     return out
