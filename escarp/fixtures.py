@@ -7,6 +7,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import part_of
+
 HIGHWAYS = {"1-URGENT": "primary", "2-HIGH": "secondary", "3-MEDIUM": "tertiary", "4-NOT SPECIFIED": "residential", "5-LOW": "track"}
 SURFACES = {"F": "asphalt", "P": "gravel"}
 
@@ -34,10 +36,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One way for each order of at least two lines."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x")).where(F.size("x") >= 2)
-    rows = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+def ways(spark: SparkSession, sf_dir: str, part: tuple[int, int] | None = None) -> DataFrame:
+    """One way for each order of at least two lines; with `part`, orders of that slice."""
+    lines = part_of(table(spark, sf_dir, "lineitem"), "l_orderkey", part).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x")).where(F.size("x") >= 2)
+    rows = part_of(table(spark, sf_dir, "orders"), "o_orderkey", part).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return rows.select(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("Road "), F.col("o_custkey"))).alias("name"), F.lit(None).cast("string").alias("ref"),
         case("o_orderpriority", HIGHWAYS).alias("highway"), case("o_orderstatus", SURFACES).alias("surface"), F.col("x.l_partkey").alias("nodes"), (F.col("o_orderkey") % 4 != 0).alias("bidirectional"),
@@ -63,19 +65,19 @@ def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.expr(CORNER).alias("id"), lat.alias("lat"), spread("l_partkey", 104729, 10009, 20.0, 0.02).alias("lng")).distinct()
 
 
-def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One way through corners for each order of at least two lines."""
+def streets(spark: SparkSession, sf_dir: str, part: tuple[int, int] | None = None) -> DataFrame:
+    """One way through corners for each order of at least two lines; with `part`, orders of that slice."""
     at = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.expr(CORNER).alias("node"))))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(at.alias("x")).where(F.size("x") >= 2)
+    lines = part_of(table(spark, sf_dir, "lineitem"), "l_orderkey", part).groupBy(F.col("l_orderkey").alias("id")).agg(at.alias("x")).where(F.size("x") >= 2)
     return lines.select("id", F.col("x.node").alias("nodes"))
 
 
-def protos(spark: SparkSession, sf_dir: str, nodes=nodes, ways=ways) -> DataFrame:
-    """Ways as detected climbs; ids are strings."""
+def protos(spark: SparkSession, sf_dir: str, nodes=nodes, ways=ways, part: tuple[int, int] | None = None) -> DataFrame:
+    """Ways as detected climbs; ids are strings.  With `part`, ways of that slice."""
     from .functions.text import nodes_hash
     from .operators.climbs import places, segments
 
-    rows = ways(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "nodes", F.array("id").alias("osm_way_ids"))
+    rows = part_of(ways(spark, sf_dir), "id", part).select(F.col("id").cast("string").alias("id"), "nodes", F.array("id").alias("osm_way_ids"))
     at = segments(places(rows, nodes(spark, sf_dir), ["lat", "lng"]))
     ends = at.groupBy("id").agg(F.min_by("lat", "pos").alias("start_lat"), F.min_by("lng", "pos").alias("start_lng"), F.sum("step").alias("distance"))
     return rows.join(ends, "id").select("id", "nodes", "osm_way_ids", "start_lat", "start_lng", "distance", nodes_hash(F.col("nodes")).alias("nodes_hash"), F.lit(None).cast("array<string>").alias("from_climbs"))

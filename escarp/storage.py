@@ -59,12 +59,33 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def part_of(df: DataFrame, key: str, part: tuple[int, int] | None) -> DataFrame:
+    """The rows of slice k of n, (k, n), by a hash of a column; all rows if there is no `part` or one slice."""
+    return df if part is None or part[1] == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(part[1])) == part[0])
+
+
+def in_pieces(make: Callable[[tuple[int, int]], DataFrame], label: str, n: int) -> DataFrame:
+    """A table written in some n pieces, `make((k, n))` for each k, one after another, so that the shuffle files of one
+    piece lie there at a time."""
+    n, path = max(1, min(n, MOST_SLICES)), None
+    for k in range(n):
+        df = make((k, n))
+        path = path or new_path(df.sparkSession, label)
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        settle(df.sparkSession)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._escarp_path = path
+    return out
+
+
 def sliced(df: DataFrame, label: str, key: str, n: int) -> list[DataFrame]:
     """The frame written `alone` in some n slices by a hash of a column, each read by itself and to be `dropped` by itself,
-    so that what follows can be done for one slice after another."""
+    so that what follows can be done for one slice after another; `_escarp_part` of each is its (k, n)."""
     n = max(1, min(n, MOST_SLICES))
     if n == 1:
-        return [alone(df, label)]
+        only = alone(df, label)
+        only._escarp_part = (0, 1)
+        return [only]
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).write.option("compression", "zstd").partitionBy("_slice").parquet(path)
     settle(spark)
@@ -72,10 +93,10 @@ def sliced(df: DataFrame, label: str, key: str, n: int) -> list[DataFrame]:
     for k in range(n):
         if exists(spark, f"{path}/_slice={k}"):
             out.append(spark.read.schema(df.schema).parquet(f"{path}/_slice={k}"))
-            out[-1]._escarp_path = f"{path}/_slice={k}"
+            out[-1]._escarp_path, out[-1]._escarp_part = f"{path}/_slice={k}", (k, n)
     if not out:
         out.append(spark.createDataFrame([], df.schema))
-        out[-1]._escarp_path = path
+        out[-1]._escarp_path, out[-1]._escarp_part = path, (0, 1)
     return out
 
 
