@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,22 +98,36 @@ def path(order: list[int], nodes: list[list[int]]) -> list[tuple[int, int]] | No
 
 def chain_paths(ways: DataFrame, labels: DataFrame) -> DataFrame:
     """(chain_id, highway, bidirectional, way_id, node_id, pos): the nodes of every chain in order.  Chains that don't
-    join, or whose ways have no node, have no row.  A chain, a few ways, is one row; a batch of them is one call."""
+    join, or whose ways have no node, have no row.  A chain, a few ways, is one row; a batch of them is one call, and only
+    chains of several ways are walked."""
+
+    lists = pa.list_(pa.int64())
+    schema = pa.schema([("chain_id", pa.int64()), ("highway", pa.string()), ("bidirectional", pa.bool_()), ("ways", lists), ("nodes", lists)])
+
+    def alone(batch):
+        """Chains of one way: its nodes as they are."""
+        own = batch.column("nodes").flatten()
+        size = pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+        ways = np.repeat(batch.column("id").flatten().to_numpy(), size)
+        columns = [batch.column("chain_id"), batch.column("highway").flatten(), batch.column("bidirectional").flatten(), pa.ListArray.from_arrays(offsets, pa.array(ways, pa.int64())), pa.ListArray.from_arrays(offsets, own.flatten())]
+        return pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(size > 0))
 
     def run(batches):
         for batch in batches:
-            found = []
-            for chain, ids, roads, nodes, both in zip(*(batch[c] for c in ("chain_id", "id", "highway", "nodes", "bidirectional")), strict=True):
-                nodes = [list(x) for x in nodes]
-                order = walk(list(ids), nodes) if all(nodes) else []
+            one = pc.equal(pc.list_value_length(batch.column("id")), 1)
+            yield alone(batch.filter(one))
+            found, rest = [], batch.filter(pc.invert(one))
+            for chain, ids, roads, nodes, both in zip(*(rest.column(c).to_pylist() for c in ("chain_id", "id", "highway", "nodes", "bidirectional")), strict=True):
+                order = walk(ids, nodes) if all(nodes) else []
                 steps = path(order, nodes) or []
                 if steps:
-                    found.append((chain, roads[order[0]], bool(all(both)), [ids[i] for i, _ in steps], [x for _, x in steps]))
-            yield pd.DataFrame(found, columns=["chain_id", "highway", "bidirectional", "ways", "nodes"])
+                    found.append((chain, roads[order[0]], all(both), [ids[i] for i, _ in steps], [x for _, x in steps]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(schema)], schema=schema)
 
     parts = ["id", "highway", "nodes", "bidirectional"]
     chains = ways.select(*parts).join(labels, "id").groupBy("chain_id").agg(F.collect_list(F.struct(*parts)).alias("w"))
     rows = chains.select("chain_id", *[F.col(f"w.{c}").alias(c) for c in parts])
-    found = rows.mapInPandas(run, "chain_id bigint, highway string, bidirectional boolean, ways array<bigint>, nodes array<bigint>")
+    found = rows.mapInArrow(run, "chain_id bigint, highway string, bidirectional boolean, ways array<bigint>, nodes array<bigint>")
     long = found.select("chain_id", "highway", "bidirectional", F.posexplode(F.arrays_zip(F.col("ways").alias("way_id"), F.col("nodes").alias("node_id"))).alias("pos", "x"))
     return long.select("chain_id", "highway", "bidirectional", "x.way_id", "x.node_id", "pos")

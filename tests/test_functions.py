@@ -141,3 +141,29 @@ def test_shown_numbers_are_rounded_by_their_exact_value(spark):
     assert [(r["a"], r["b"]) for r in rows] == [(f"{r['x']:.2f} km", f"{r['x']:.1f}%") for r in rows]
     one = spark.createDataFrame([(3175.0, None)], "m double, g double").select(T.kilometres(F.col("m")), T.percent(F.col("g"))).first()
     assert tuple(one) == ("3.17 km", None)
+
+
+def test_climbs_of_many_chains_are_those_of_each(monkeypatch):
+    """One call for all chains, with the same values to the last bit; cycles, stops and short chains among them."""
+    from escarp.functions import series as S
+    from escarp.params import PipelineParams
+
+    p, rng, chains = PipelineParams(), np.random.default_rng(7), []
+    for i in range(300):
+        n = int(rng.integers(0, 9))
+        lat, lng, elev = 44 + rng.random(n) * 0.02, 20 + rng.random(n) * 0.02, 100 + 8.0 * rng.integers(1, 20, n)
+        if n > 3 and i % 3 == 0:
+            lat[2], lng[2] = lat[1], lng[1]
+        if n > 3 and i % 7 == 0:
+            lat[-1], lng[-1] = lat[0], lng[0]
+        chains.append((lat, lng, elev, rng.integers(0, 99, n), np.sort(rng.integers(0, 3, n)), i % 4 > 0))
+    expected = [{"chain": i, **x} for i, c in enumerate(chains) for x in S.chain_climbs(*c, p)]
+    calls, real = [], S.inverse_np
+    monkeypatch.setattr(S, "inverse_np", lambda *x: calls.append(1) or real(*x))
+    monkeypatch.setattr(S, "SAMPLES_AT_ONCE", 20_000)
+    found = S.chains_climbs(np.array([len(c[0]) for c in chains]), *[np.concatenate([c[k] for c in chains]) for k in range(5)], np.array([c[5] for c in chains]), p)
+    assert len(calls) == 1
+    lists = {c: np.split(found[c], np.cumsum(found[f"n_{c}"])) for c in ("nodes", "ways")}
+    rows = [{c: lists[c][k].tolist() if c in lists else found[c][k].item() for c in expected[0]} for k in range(len(found["chain"]))]
+    key = lambda x: (x["chain"], x["turn"], x["at"])
+    assert sorted(rows, key=key) == sorted(expected, key=key) and len(rows) > 300
